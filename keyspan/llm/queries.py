@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, pii, quality, secrets, substrings, urls
+from . import bpe, decontamination, html, jaccard, pii, quality, secrets, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -73,6 +77,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_secret_scans, op5_bpe, op6_quality_rules, op7_jaccard_join, op8_pii, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_secret_scans, op4_html_extraction, op5_bpe, op6_quality_rules, op7_jaccard_join, op8_pii, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
