@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; in a temporary one only where none is set, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html, jaccard, pii, quality, secrets, substrings, urls
-from .common import table
+from . import bpe, decontamination, html, jaccard, pii, quality, secrets, shards, substrings, urls
+from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,10 +73,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, pii.DEMO_KEY)
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents as shards of byte ids, and reads them back: one row for each sequence."""
+    tokens = shards.byte_ids(table(spark, sf_dir, "documents"))
+    layout = shards.Layout(tokens, "training order", 1, shards.BYTE_END, shards.BYTE_PAD)
+    path = shared_path(spark, "shards")
+    layout.write(path)
+    if not layout.n:
+        return layout.index().withColumn("record_sha256", F.lit(None).cast("string"))
+    written = shards.read(spark, path, layout.length, layout.width).select("slot", F.sha2("record", 256).alias("record_sha256"))
+    return layout.index().join(written, "slot")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_secret_scans, op4_html_extraction, op5_bpe, op6_quality_rules, op7_jaccard_join, op8_pii, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_secret_scans, op4_html_extraction, op5_bpe, op6_quality_rules, op7_jaccard_join, op8_pii, op9_token_shards, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
