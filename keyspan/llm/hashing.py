@@ -8,8 +8,6 @@ import xxhash
 _U = np.uint64
 #: Odd multipliers; any would do.
 BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
-#: Distinct words that a task remembers; then it starts afresh.
-REMEMBER = 1_000_000
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -20,23 +18,9 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class WordCodes:
-    """64-bit hashes of words, remembered."""
-
-    def __init__(self) -> None:
-        self._known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self._known
-        if len(known) > REMEMBER:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), _U, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), _U, len(words))
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. A table of known words would save little time and grow with the corpus."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
 
 
 class Rolling:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick
 from .components import components
-from .hashing import BASES, Rolling, WordCodes
+from .hashing import BASES, Rolling, word_codes
 
 #: Words in a shingle and least Jaccard similarity in percent where no contract says otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -33,15 +33,17 @@ OFTEN = 8
 BLOCK = 1_000_000
 #: Children of a tree node, and sets in a leaf.
 FAN = 8
+#: 64-bit words of bitmaps that a tree, and a comparison of pairs, hold at a time. Narrower bitmaps prune less but as rightly.
+TREE_WORDS, PAIR_WORDS = 2_000_000, 500_000
 #: Texts that a task handles at a time.
 ROWS = 256
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def _set(text: str | None, n: int, codes: WordCodes, roll: Rolling) -> np.ndarray:
+def _set(text: str | None, n: int, roll: Rolling) -> np.ndarray:
     """Sorted hashes of the distinct shingles; of fewer words the whole sequence is one."""
-    code = codes((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
+    code = word_codes((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
     return np.unique(roll(code, min(n, len(code)))) if len(code) else np.zeros(0, np.uint64)
 
 
@@ -56,11 +58,11 @@ def _sketch(n: int, bits: int, share: int) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(seen)], names=["slot", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, roll, kept, held = WordCodes(), Rolling(BASES[0]), [], 0
+        roll, kept, held = Rolling(BASES[0]), [], 0
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 for text in batch.column(0).slice(at, ROWS).to_pylist():
-                    kept.append(_first(_set(text, n, codes, roll), share))
+                    kept.append(_first(_set(text, n, roll), share))
                     held += len(kept[-1])
                 if held > 2_000_000:
                     yield told(kept)
@@ -96,14 +98,14 @@ def _sets(n: int, percent: int, bits: int, share: int, maps: Broadcast) -> Calla
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shown", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, roll = WordCodes(), Rolling(BASES[0])
+        roll = Rolling(BASES[0])
         twice, often = (np.frombuffer(x, np.uint8) for x in maps.value)
         seen = lambda bit, slot: (bit[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 sizes, digests, shown, tokens = [], [], [], []
                 for text in batch.column(1).slice(at, ROWS).to_pylist():
-                    own = _set(text, n, codes, roll)
+                    own = _set(text, n, roll)
                     low = _first(own, share)
                     slot = _slots(low, bits)
                     rank = seen(twice, slot) + seen(often, slot)
@@ -154,8 +156,9 @@ def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
     (bits_a, least_a, most_a, slack_a), (bits_b, least_b, most_b, slack_b) = a, b
     good = (100 * most_a[i] >= percent * least_b[j]) & (100 * most_b[j] >= percent * least_a[i])
     at = np.flatnonzero(good)
-    for lo in range(0, len(at), 65_536):
-        k = at[lo : lo + 65_536]
+    step = max(64, PAIR_WORDS // bits_a.shape[1])
+    for lo in range(0, len(at), step):
+        k = at[lo : lo + step]
         overlap = np.bitwise_count(bits_a[i[k]] & bits_b[j[k]]).sum(1, dtype=np.int64) + np.minimum(slack_a[i[k]], slack_b[j[k]])
         good[k] = (100 + percent) * overlap >= percent * (least_a[i[k]] + least_b[j[k]])
     return good
@@ -164,36 +167,36 @@ def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
 def dual_walk(a: SignatureTree, b: SignatureTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of pairs of sets that no pair of nodes above them rules out. If a is b, each pair once."""
     same = a is b
-    height = max(len(a.levels), len(b.levels)) - 1
-    stack = [(height, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        level, i, j = stack.pop()
+
+    def walk(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         la, lb = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
         good = _possible(a.levels[la], b.levels[lb], i, j, percent)
         if same:
             good &= i < j if level == 0 else i <= j
         i, j = i[good], j[good]
-        if not len(i):
-            continue
         if level == 0:
-            yield i, j
-            continue
+            if len(i):
+                yield i, j
+            return
         below_a, below_b = (len(t.levels[min(level - 1, len(t.levels) - 1)][1]) for t in (a, b))
-        for lo in range(0, len(i), 2048):
-            x, y = i[lo : lo + 2048], j[lo : lo + 2048]
+        for lo in range(0, len(i), 1024):  # depth first: a slice of pairs at each level is all that is held
+            x, y = i[lo : lo + 1024], j[lo : lo + 1024]
             if la == level:
                 x, y = (x[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(y, FAN)
                 x, y = x[x < below_a], y[x < below_a]
             if lb == level:
                 x, y = np.repeat(x, FAN), (y[:, None] * FAN + np.arange(FAN)).ravel()
                 x, y = x[y < below_b], y[y < below_b]
-            stack.append((level - 1, x, y))
+            yield from walk(level - 1, x, y)
+
+    yield from walk(max(len(a.levels), len(b.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
 
 
 def links(ids: list[np.ndarray], sets: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links that connect what two blocks of sets, or one, have to connect: pairs known to be connected are skipped."""
     every = [len(s) for block in sets for s in block]
     words = max(4, 1 << max(0, int(4 * max(every) - 1).bit_length() - 6))
+    words = max(4, min(words, 1 << (TREE_WORDS // max(map(len, sets))).bit_length() - 1))
     order = [np.argsort([len(s) for s in block], kind="stable") for block in sets]
     ids = [x[o] for x, o in zip(ids, order, strict=True)]
     sets = [[block[k] for k in o] for block, o in zip(sets, order, strict=True)]
