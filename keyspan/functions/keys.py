@@ -26,7 +26,9 @@ def unsigned(n: int) -> int:
 
 def parse_key(text: Column) -> Column:
     """Decimal text to a key; out of range saturates at 2**64-1, a leading minus wraps."""
-    return F.conv(text, 10, -10).cast("bigint")
+    digits = F.regexp_replace(text, r"^[+-]?0*", "")
+    beyond = (F.length(digits) > 20) | ((F.length(digits) == 20) & (digits > str(TOP - 1)))
+    return F.when(beyond, F.lit(-1).cast("bigint")).otherwise(F.conv(text, 10, -10).cast("bigint"))
 
 
 def format_key(key: Column) -> Column:

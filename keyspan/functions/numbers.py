@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .keys import parse_key
+
 _BLANKS = r"^[ \t\n\x0B\f\r]*"
 
 
@@ -26,7 +28,7 @@ def to_int(text: Column) -> Column:
 def to_key(text: Column) -> Column:
     """Unsigned 64-bit as a bigint, or null; beyond the range it saturates, a minus wraps."""
     plain = F.regexp_replace(F.regexp_replace(text, _BLANKS, ""), r"^\+", "")
-    return _guarded(text, r"[+-]?\d+", F.conv(plain, 10, -10).cast("bigint"), F.lit(0).cast("bigint"))
+    return _guarded(text, r"[+-]?\d+", parse_key(plain), F.lit(0).cast("bigint"))
 
 
 def to_label(value: Column) -> Column:

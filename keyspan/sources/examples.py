@@ -159,7 +159,7 @@ def criteo_integers(line: Column, ignore_groups: bool = False) -> tuple[Column,
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
 def _category_keys(fields: pd.Series) -> pd.Series:
-    long = [[t if t is not None and len(t.encode()) > 4 else None for t in row] for row in fields]
+    long = [[t if t is not None and len(t.encode()) > 4 else None for t in (() if row is None else row)] for row in fields]
     keys = iter(category_keys([t.encode() for row in long for t in row if t is not None]).tolist())
     return pd.Series([[[] if t is None else [next(keys)] for t in row] for row in long])
 
@@ -170,8 +170,8 @@ def criteo(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
     fields = F.slice(F.split(line, "\t"), INTEGERS + 2, CATEGORIES)
     keys = _category_keys(fields)
     if ignore_groups:
-        merged = F.transform(integers, lambda s: F.when(s["id"] == 1, slot(1, F.concat(s["keys"], F.flatten(keys)))).otherwise(s))
-        return ok, merged
+        both = F.concat(F.get(integers, F.lit(1))["keys"], F.flatten(keys))
+        return ok, F.concat(F.slice(integers, 1, 1), F.array(slot(1, both)))
     own = F.filter(F.transform(keys, lambda k, i: slot(i + INTEGERS + 1, k)), lambda s: F.size(s["keys"]) > 0)
     return ok, F.concat(integers, own)
 
