@@ -65,7 +65,7 @@ def _sketch(window: int, gram: int, bits: int) -> Callable:
                         anchors = np.unique(sliding_least(roll(word_codes(words), gram), window - gram + 1))
                         kept.append(np.append(anchors, _whole(b" ".join(words))))
                         held += len(kept[-1])
-                if held > 2_000_000:
+                if held > 500_000:
                     yield from told(kept)
                     kept, held = [], 0
         if kept:
@@ -215,9 +215,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sketch
     windows = seen.where("packed is not null and not copy").select("doc_id", "hash", "runs", "h1", "h2").unionByName(shown).select("doc_id", "hash", F.inline(F.arrays_zip(starts.alias("start"), "h1", "h2")))
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("h1", "h2", "first")
     gone = windows.join(first, ["h1", "h2"]).where(F.col("first") < F.col("doc_id")).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.collect_set("start").alias("gone"))
-    joined = seen.where("packed is not null").select("doc_id", "hash", "n_words", "kept_sha256", "packed", "copy").join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_h")), "left")
-    joined = joined.join(lead.withColumnRenamed("kept_sha256", "_text"), F.col("copy") & (F.col("kept_sha256") == F.col("_text")), "left")
+    # The verdicts meet the packed texts in one join.
+    following = copies.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "kept_sha256").join(lead, "kept_sha256").where("lead < _id").select("_id", "_h", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("whole")).distinct()
+    marks = gone.withColumn("whole", F.lit(False)).unionByName(following)
     all_starts = F.sequence(F.lit(0), (F.col("n_words") - window).cast("int"))
-    judged = joined.select("doc_id", "n_words", "kept_sha256", "packed", F.when(F.col("lead") < F.col("doc_id"), all_starts).otherwise(F.col("gone")).alias("gone"))
+    judged = seen.where("packed is not null").select("doc_id", "hash", "n_words", "kept_sha256", "packed").join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_h")), "left")
+    judged = judged.select("doc_id", "n_words", "kept_sha256", "packed", F.when(F.col("whole"), all_starts).otherwise(F.col("gone")).alias("gone"))
     plain = seen.where("packed is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
     return plain.unionByName(judged.mapInArrow(_cleared(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"))
