@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html, jaccard, pii, quality, secrets, shards, substrings, urls
+from . import bpe, decontamination, html, jaccard, oracle, pii, quality, secrets, shards, substrings, urls
 from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,4 +91,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_secret_scans, op4_html_extraction, op5_bpe, op6_quality_rules, op7_jaccard_join, op8_pii, op9_token_shards, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need regular expressions with positions, tokenizers, keyed permutations or the verdict of a method.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": oracle.OP1,
+    "op2_decontamination": oracle.OP2,
+    "op7_jaccard_join": oracle.OP7,
+    "op10_substring_dedup": oracle.OP10,
+}
