@@ -198,6 +198,14 @@ def test_pii_round_trip(spark):
     assert pii.pseudonymise(df.limit(0), "key").count() == 0
 
 
+def test_pii_in_very_long_texts(spark):
+    texts = ["a@b" + ".c" * 60_000, "x" * 400_000, "1 " * 200_000, "9" * 300_000, "a." * 100_000 + "@b.c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.pseudonymise(df, "key").collect()}
+    assert all(found[i]["text"] == texts[i] for i in (1, 3)) and found[0]["n_found"] >= 1
+    assert secrets.scan(df).count() == 5
+
+
 def test_feistel_permutes(spark):
     for a, b in ((7, 13), (10, 10), (17, 5)):
         pairs = spark.range(a * b).select(F.floor(F.col("id") / b).alias("l"), (F.col("id") % b).alias("r"))
