@@ -13,7 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ PIECE = 50_000
 #: An unsplit run (a pre-token) of more characters than this is cut into leaves of about this size.
 LEAF = 4_096
 #: Distinct words that a task remembers; then it starts afresh.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 class Codec:
@@ -39,14 +39,23 @@ class Codec:
         raw = json.loads(open(path, encoding="utf-8").read())
         raw["truncation"] = raw["padding"] = None
         self.whole = Tokenizer.from_str(json.dumps(raw))
-        bare = {k: v for k, v in raw.items() if k not in ("normalizer", "pre_tokenizer", "added_tokens")} | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self._end = Tokenizer.from_str(json.dumps(bare))
-        inner = bare | {"model": raw["model"] | {"end_of_word_suffix": None}}
-        self._inner = Tokenizer.from_str(json.dumps(inner))
+        self._raw = raw
         self.suffix = raw["model"].get("end_of_word_suffix") or ""
         self.token = {i: t for t, i in self.whole.get_vocab().items()}
         self._added = re.compile("|".join(re.escape(t["content"]) for t in raw["added_tokens"]) or "(?!)")
 
+    @cached_property
+    def _end(self) -> Tokenizer:
+        """The model alone, for the last part of a word. Made only where a run is cut, as each holds the vocabulary again."""
+        bare = {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(self._raw | bare))
+
+    @cached_property
+    def _inner(self) -> Tokenizer:
+        """The same for parts that don't end their word."""
+        bare = {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(self._raw | bare | {"model": self._raw["model"] | {"end_of_word_suffix": None}}))
+
     def words(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -25,7 +25,7 @@ from .hashing import BASES, Rolling, word_codes
 
 #: Words in a shingle and least Jaccard similarity in percent where no contract says otherwise.
 SHINGLE, PERCENT = 5, 80
-#: Slots of the sketch: a power of two, about one for each two characters of text, within these bounds. Two bitmaps of it are broadcast: 2 x 128 MB at most.
+#: Slots of the sketch: a power of two, about one for each four characters of text, within these bounds. Two bitmaps of it are broadcast: 2 x 128 MB at most.
 LEAST_BITS, MOST_BITS = 16, 30
 #: Shingles seen more often than this come last in the order.
 OFTEN = 8
@@ -64,7 +64,7 @@ def _sketch(n: int, bits: int, share: int) -> Callable:
                 for text in batch.column(0).slice(at, ROWS).to_pylist():
                     kept.append(_first(_set(text, n, roll), share))
                     held += len(kept[-1])
-                if held > 2_000_000:
+                if held > 500_000:
                     yield told(kept)
                     kept, held = [], 0
         if kept:
@@ -248,7 +248,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     share = max(2, 50 // max(1, 100 - percent))  # the sketch covers about twice the shingles that sets show
     if sketch_bits is None:
         chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        sketch_bits = min(MOST_BITS, max(LEAST_BITS, (chars // 4).bit_length()))
+        sketch_bits = min(MOST_BITS, max(LEAST_BITS, (chars // 8).bit_length()))
     maps = docs.sparkSession.sparkContext.broadcast(_bitmaps(docs, shingle, sketch_bits, share))
     rows = cut(docs.mapInArrow(_sets(shingle, percent, sketch_bits, share, maps), "doc_id long, n_shingles long, digest binary, shown array<long>, tokens array<long>"))
 
