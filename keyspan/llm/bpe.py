@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
@@ -29,17 +30,21 @@ PIECE = 50_000
 #: An unsplit run (a pre-token) of more characters than this is cut into leaves of about this size.
 LEAF = 4_096
 #: Distinct words that a task remembers; then it starts afresh.
-REMEMBER = 200_000
+REMEMBER = 50_000
+
+#: A tokenizer file with these parts is its model alone.
+_BARE = {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
 
 
 class Codec:
     """Encodes single words, and joins the tokens of parts of one long word."""
 
     def __init__(self, path: str) -> None:
-        raw = json.loads(open(path, encoding="utf-8").read())
-        raw["truncation"] = raw["padding"] = None
-        self.whole = Tokenizer.from_str(json.dumps(raw))
-        self._raw = raw
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core, and threads have memory of their own
+        with open(path, encoding="utf-8") as f:
+            raw = json.load(f) | {"truncation": None, "padding": None}
+        self._json = json.dumps(raw)
+        self.whole = Tokenizer.from_str(self._json)
         self.suffix = raw["model"].get("end_of_word_suffix") or ""
         self.token = {i: t for t, i in self.whole.get_vocab().items()}
         self._added = re.compile("|".join(re.escape(t["content"]) for t in raw["added_tokens"]) or "(?!)")
@@ -47,14 +52,13 @@ class Codec:
     @cached_property
     def _end(self) -> Tokenizer:
         """The model alone, for the last part of a word. Made only where a run is cut, as each holds the vocabulary again."""
-        bare = {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        return Tokenizer.from_str(json.dumps(self._raw | bare))
+        return Tokenizer.from_str(json.dumps(json.loads(self._json) | _BARE))
 
     @cached_property
     def _inner(self) -> Tokenizer:
         """The same for parts that don't end their word."""
-        bare = {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        return Tokenizer.from_str(json.dumps(self._raw | bare | {"model": self._raw["model"] | {"end_of_word_suffix": None}}))
+        raw = json.loads(self._json)
+        return Tokenizer.from_str(json.dumps(raw | _BARE | {"model": raw["model"] | {"end_of_word_suffix": None}}))
 
     def words(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,8 +117,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _words_coded(path: str, emit: Callable[[list, list], list], fields: list[pa.Field]) -> Callable:
-    """A function for mapInArrow over (id, text) batches. emit: from the coded words of a text to the added columns."""
+def _words_coded(path: str, emit: Callable[[list], tuple], fields: list[pa.Field], decoded: bool = False) -> Callable:
+    """A function for mapInArrow over (id, text) batches. emit: from the coded words of a text to the added columns.
+
+    A coded word is its ids as bytes and, if `decoded`, its tokens with a space before each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = codec(path), {}
@@ -129,8 +136,9 @@ def _words_coded(path: str, emit: Callable[[list, list], list], fields: list[pa.
                 for lo in range(0, len(new), 20_000):
                     some = new[lo : lo + 20_000]
                     for w, ids in zip(some, own.words([w.decode("utf-8", "replace") for w in some]), strict=True):
-                        known[w] = (np.asarray(ids, "<u4").tobytes(), "".join([f" {own.token[i]}" for i in ids]).encode())
-                rows = [emit([known[w][0] for w in t], [known[w][1] for w in t]) for t in texts]
+                        raw = np.asarray(ids, "<u4").tobytes()
+                        known[w] = (raw, "".join([f" {own.token[i]}" for i in ids]).encode()) if decoded else raw
+                rows = [emit([known[w] for w in t]) for t in texts]
                 kept = [part.column(f.name) for f in fields if f.name in part.schema.names]
                 made = [f for f in fields if f.name not in part.schema.names]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(made)], schema=pa.schema(fields))
@@ -138,13 +146,13 @@ def _words_coded(path: str, emit: Callable[[list, list], list], fields: list[pa.
     return run
 
 
-def _digest_row(ids: list[bytes], decoded: list[bytes]) -> tuple:
-    raw = b"".join(ids)
-    return len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(b"".join(decoded)[1:]).hexdigest()
+def _digest_row(words: list[tuple[bytes, bytes]]) -> tuple:
+    raw, decoded = b"".join([w[0] for w in words]), b"".join([w[1] for w in words])
+    return len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded[1:]).hexdigest()
 
 
-def _ids_row(ids: list[bytes], decoded: list[bytes]) -> tuple:
-    return (b"".join(ids),)
+def _ids_row(words: list[bytes]) -> tuple:
+    return (b"".join(words),)
 
 
 def cut_text(text: str, piece: int, leaf: int, own: Codec) -> list[tuple[int, str, str]]:
@@ -265,7 +273,7 @@ def digests(docs: DataFrame, path: str, piece: int = PIECE, leaf: int = LEAF) ->
     docs = _typed(docs)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     fields = [pa.field("doc_id", pa.int64()), *_COUNTED]
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(_words_coded(path, _digest_row, fields), schema)
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(_words_coded(path, _digest_row, fields, decoded=True), schema)
 
     def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
