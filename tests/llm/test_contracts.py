@@ -142,6 +142,20 @@ def test_boilerplate_lines_deplete(spark):
     assert quality.accept(docs, ("doc_id", "text")).count() == len(found) - sum(not r["kept"] for r in found.values())
 
 
+@pytest.mark.parametrize("broadcast", [quality.BROADCAST_LINES, 0])
+def test_boilerplate_lines_go(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_LINES", broadcast)
+    body = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    made = [(k, f"We use  COOKIES here\n\n {body(k)}\n\twe use cookies HERE \nend {k}", "h", 7) for k in range(30)]
+    made += [(100 + k, f"we use cookies here\n{body(k)}", None, 7) for k in range(5)]  # too few on their source
+    made += made[:1]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long")
+    want = [(d, f"\n {body(d)}\nend {d}" if s else t) for d, t, s, _ in made]
+    same(taken(quality.line_rules(docs), "doc_id", "text"), want)
+    same(taken(quality.accept(docs, ("doc_id", "text", "n_chars")), "doc_id", "text", "n_chars"), [(d, t, len(t)) for d, t in want])
+    assert {r["words_left"] for r in quality.line_rules(docs).where("doc_id < 100").collect()} == {62}
+
+
 @pytest.mark.parametrize(("shingle", "percent", "block"), [(3, 90, 1_000_000), (3, 90, 500), (5, 80, 1_000_000)])
 def test_jaccard(rows, docs, shingle, percent, block):
     sets = {}
