@@ -1,30 +1,32 @@
 """HTML extraction with host suffix arrays.
 
-Pages are cut into blocks of text. The token streams of the pages of a host are put together and their suffixes sorted;
-long runs that recur on distinct pages are boilerplate. A block that the page itself marks as its article keeps all its
+Pages are cut into blocks of text. The suffixes of the token streams of a host's pages are grouped by their first tokens, by
+a hash and over the whole table; long runs that recur on distinct texts are boilerplate. A block that the page itself marks as its article keeps all its
 words; one that it marks as menu, advert and so on keeps none; what it marks as neither keeps its unique runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import cut, is_small, pick
+from .hashing import BASES, Rolling, word_codes
 from .urls import host_of
 
-#: Tokens in a row that have to recur, and distinct pages of a host on which they have to.
+#: Tokens in a row that have to recur, and distinct texts of a host's pages in which they have to.
 RUN, PAGES = 8, 3
-#: Characters of HTML whose token streams are sorted together; a larger host is dealt to several such shards.
-SHARD = 1_000_000
-#: Hosts are counted in so many buckets, which bounds what is broadcast.
-BUCKETS = 1 << 20
+#: Up to so many recurring runs are broadcast (8 bytes each); more meet their pages by shuffle.
+BROADCAST_RUNS = 4_000_000
+#: Tasks over which the occurrences of one run are spread where they meet its verdict.
+SALTS = 16
 
 ARTICLE, CHROME, OTHER = 0, 1, 2
 #: Elements without text of their own page, elements that are not the article, words of class, id and role that say the same, and elements that end a block.
@@ -116,7 +118,7 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
 
 
 def repeated_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """For each stream which tokens lie in a run of `run` tokens that recurs in `pages` streams (two or more).
+    """For each stream which tokens lie in a run of `run` tokens that recurs in `pages` streams (two or more), all in memory.
 
     The suffixes of all streams, put together with a mark of its own after each, are ranked by their first 1, 2, 4 ...
     tokens up to `run`: equal ranks are equal runs.
@@ -166,28 +168,121 @@ def main_text(found: list[tuple[int, str]], covered: np.ndarray) -> str:
     return "\n".join(kept)
 
 
-def _extract(run: int, pages: int) -> Callable:
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [blocks(h) for h in frame["html"]]
-        covered = repeated_tokens([[w for _, t in f for w in t.split(" ")] for f in found], run, pages)
-        texts = [main_text(f, c) for f, c in zip(found, covered, strict=True)]
-        lost = [int(c.sum()) for c in covered]
-        return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_boilerplate": lost})
+def run_keys(host: str | None, words: list[str], run: int) -> np.ndarray:
+    """A 64-bit hash of the host and the `run` tokens from each place on."""
+    code = word_codes([w.encode("utf-8", "surrogatepass") for w in words])
+    if len(code) < run:
+        return np.zeros(0, np.int64)
+    own = np.uint64(int.from_bytes(hashlib.blake2b((host or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+    return ((Rolling(BASES[0])(code, run) ^ own) * BASES[1]).view(np.int64)
+
+
+def _covered(hit: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of n tokens lie in a run that starts at a hit."""
+    steps = np.zeros(n + 1, np.int64)
+    starts = np.flatnonzero(hit)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + run, -1)
+    return np.cumsum(steps)[:n] > 0
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which keys are in `wanted`, which is sorted."""
+    if not len(wanted):
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(wanted, keys)
+    at[at == len(wanted)] = 0
+    return wanted[at] == keys
+
+
+def _parsed(host: str | None, html: str | None, run: int) -> tuple[list[tuple[int, str]], list[str], np.ndarray]:
+    found = blocks(html)
+    words = [w for _, t in found for w in t.split(" ")]
+    return found, words, run_keys(host, words, run)
+
+
+def _runs(run: int, wanted: Callable[[], np.ndarray] | None = None) -> Callable:
+    """A row for each page that has runs: page, text (a hash of its tokens) and its distinct runs, of the wanted ones if given."""
+    schema = pa.schema([("page", pa.binary()), ("text", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = wanted() if wanted else None
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                part, out = batch.slice(at, 100).to_pylist(), []
+                for r in part:
+                    _, words, keys = _parsed(r["host"], r["html"], run)
+                    keys = np.unique(keys if only is None else keys[_among(keys, only)])
+                    if len(keys):
+                        text = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                        out.append((r["page"], int.from_bytes(text, "little", signed=True), keys))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], schema.field(k).type) for k in range(3)], schema=schema)
 
     return work
 
 
-def extract(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard: int = SHARD) -> DataFrame:
+def _extract(run: int, wanted: Callable[[], np.ndarray] | None) -> Callable:
+    """wanted: the recurring runs, sorted; None: the column _runs has a page's own."""
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_boilerplate", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = wanted() if wanted else None
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                part, out = batch.slice(at, 100).to_pylist(), []
+                for r in part:
+                    found, words, keys = _parsed(r["host"], r["html"], run)
+                    own = every if wanted else np.sort(np.array(r["_runs"] or [], np.int64))
+                    covered = _covered(_among(keys, own), len(words), run)
+                    text = main_text(found, covered)
+                    out.append((r["page_id"], r["url"], text, len(text), int(covered.sum())))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], schema.field(k).type) for k in range(5)], schema=schema)
+
+    return work
+
+
+def _meeting(held: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of `held` (page, text, key) whose key is in `runs` (key), wherever one key has very many."""
+    salted = runs.select(F.col("key").alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return held.join(salted, (F.col("key") == F.col("_key")) & (F.pmod(F.xxhash64("page"), F.lit(SALTS)) == F.col("_salt"))).select("page", "text", "key")
+
+
+def _sent(runs: DataFrame) -> Callable[[], np.ndarray]:
+    keys = np.sort(np.fromiter((r["key"] for r in runs.toLocalIterator()), np.int64))
+    sent = runs.sparkSession.sparkContext.broadcast(keys)
+    return lambda: sent.value
+
+
+def recurring(rows: DataFrame, run: int, min_pages: int) -> DataFrame:
+    """key: the runs (see run_keys) that at least `min_pages` distinct texts of a host's pages hold. rows: page, host, html."""
+    schema = "page binary, text long, keys array<long>"
+    every = rows.mapInArrow(_runs(run), schema).select("page", "text", F.explode("keys").alias("key"))
+    # Copies of a text count here, but not below: the runs that could recur are few, and only their occurrences are told apart.
+    often = cut(every.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key"))
+    if is_small(often, BROADCAST_RUNS):
+        held = rows.mapInArrow(_runs(run, _sent(often)), schema).select("text", F.explode("keys").alias("key"))
+    else:
+        held = _meeting(every, often)
+    return cut(held.select("key", "text").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key"))
+
+
+def extract(pages: DataFrame, run: int = RUN, min_pages: int = PAGES) -> DataFrame:
     """Per row of `pages` (page_id, url, html): page_id, url, text, n_chars and n_boilerplate, the tokens in recurring runs.
 
+    A run recurs if at least `min_pages` distinct texts among all pages of its host hold it: copies of a page count once.
     Null and empty HTML gives empty text; a null url belongs to the empty host. Broken markup is read as far as it goes: open
-    elements end with what holds them. Repeated rows each get a row. An empty table gives none. Recurrence is looked for
-    within shards of a host of about `shard` characters.
+    elements end with what holds them. Repeated rows each get a row. An empty table gives none. Runs and texts are compared
+    by 64-bit hashes.
     """
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    bucket = F.pmod(F.xxhash64("host"), F.lit(BUCKETS)).cast("int")
-    weight = F.coalesce(F.length("html"), F.lit(0)) + 100
-    large = rows.groupBy(bucket.alias("bucket")).agg(F.sum(weight).alias("n")).where(F.col("n") > shard).select("bucket", F.ceil(F.col("n") / shard).cast("int").alias("shards"))
-    dealt = rows.withColumn("bucket", bucket).join(F.broadcast(large), "bucket", "left")  # at most BUCKETS rows
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))))
-    return dealt.select("page_id", "url", "html", "host", "shard").groupBy("host", "shard").applyInPandas(_extract(run, min_pages), "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    # What a page's runs depend on: its host and its HTML.
+    page = F.unhex(F.md5(F.concat_ws("\x00", F.md5(F.coalesce("host", F.lit("")).cast("binary")), F.md5(F.coalesce("html", F.lit("")).cast("binary"))).cast("binary")))
+    rows = rows.withColumn("page", page)
+    seen = rows.select("page", "host", "html")
+    common = recurring(seen, run, min_pages)
+    schema = "page_id long, url string, text string, n_chars long, n_boilerplate long"
+    if is_small(common, BROADCAST_RUNS):
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_extract(run, _sent(common)), schema)
+    held = seen.mapInArrow(_runs(run), "page binary, text long, keys array<long>").select("page", "text", F.explode("keys").alias("key"))
+    own = _meeting(held, common).groupBy(F.col("page").alias("_page")).agg(F.collect_set("key").alias("_runs"))
+    return rows.join(own, F.col("page") == F.col("_page"), "left").select("page_id", "url", "html", "host", "_runs").mapInArrow(_extract(run, None), schema)

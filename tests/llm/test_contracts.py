@@ -252,6 +252,23 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame(made, "page_id long, url string, html string").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [html.BROADCAST_RUNS, 0])
+def test_html_recurs_over_whole_hosts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html, "BROADCAST_RUNS", broadcast)
+    menu = "Home About Contact Terms Privacy Help Jobs Press"
+    long = lambda k: " ".join(f"u{k}x{i}" for i in range(60_000))
+    made = [(k, f"http://c.org/{k}", f"<div>{menu}</div><p>{long(k)}</p>") for k in range(6)]  # 3 MB of one host
+    copy = f"<div>{menu} Blog</div><p>{' '.join(f'v{i}' for i in range(20))}</p>"
+    made += [(20 + k, f"http://d.org/{k}", copy) for k in range(3)] + [(20, "http://d.org/0", copy)]  # copies condemn nothing
+    found = html.extract(spark.createDataFrame(made, "page_id long, url string, html string").repartition(4))
+    want = [(k, long(k), 8) for k in range(6)] + [(d, f"{menu} Blog\n{' '.join(f'v{i}' for i in range(20))}", 0) for d in (20, 20, 21, 22)]
+    same(taken(found, "page_id", "text", "n_boilerplate"), want)
+    rng = random.Random(4)
+    streams = [[rng.choice("abc") for _ in range(40)] for _ in range(12)]
+    little = spark.createDataFrame([(k, "http://e.org/", " ".join(s)) for k, s in enumerate(streams)], "page_id long, url string, html string")
+    same(taken(html.extract(little, 4, 3), "page_id", "n_boilerplate"), [(k, int(c.sum())) for k, c in enumerate(html.repeated_tokens(streams, 4, 3))])
+
+
 def test_repeated_tokens_against_counting():
     rng = random.Random(2)
     for _ in range(50):
