@@ -15,10 +15,10 @@ from pyspark.sql.types import StructType
 
 from .common import cut, is_small, pick
 
-#: A line is boilerplate if more than this many distinct texts of its host hold it ...
+#: A line is boilerplate if more than this many distinct texts of its host hold it, however many the host has ...
 MAX_DOCS = 20
-#: ... and more than this share of them.
-MAX_SHARE = 0.02
+#: ... and more than this share of them: none, since a limit that grows with the host would spare the same line on a large one.
+MAX_SHARE = 0.0
 #: A document is depleted if its words outside boilerplate lines are fewer than this ...
 MIN_WORDS_LEFT = 10
 #: ... or than this share of all its words.

@@ -156,6 +156,12 @@ def test_boilerplate_lines_go(spark, monkeypatch, broadcast):
     assert {r["words_left"] for r in quality.line_rules(docs).where("doc_id < 100").collect()} == {62}
 
 
+def test_boilerplate_on_a_large_source(spark):
+    made = [(k, "all rights reserved\n" * (k < 21) + "we like tea\n" * (k < 20) + f"own words of text {k}", "h") for k in range(3000)]
+    found = quality.line_rules(spark.createDataFrame(made, "doc_id long, text string, source string")).where("doc_id < 21")
+    same(taken(found, "doc_id", "text"), [(k, "we like tea\n" * (k < 20) + f"own words of text {k}") for k in range(21)])
+
+
 @pytest.mark.parametrize(("shingle", "percent", "block"), [(3, 90, 1_000_000), (3, 90, 500), (5, 80, 1_000_000)])
 def test_jaccard(rows, docs, shingle, percent, block):
     sets = {}
