@@ -1,10 +1,12 @@
 """BPE encoding and decoding with tree concatenation.
 
-White space is a hard border of this kind of tokenizer, so a text is encoded word by word and each distinct word only once
-per batch. A run of characters that nothing splits may still be as long as its document. It is cut into leaves that are encoded
-as rows of their own, on any executor. Neighbours are then joined pair by pair, as in a binary tree: a window around the
-join is encoded anew and grows until its first token is a token of the left side, at the same place, and its last one of the
-right side. By the locality of merges the joined tokens are then those of the whole.
+White space is a hard border of this kind of tokenizer, so short texts are encoded word by word, and of each batch every
+distinct word once. Long texts are cut into pieces anywhere, the pieces are encoded as rows of their own, on any executor, and
+joined pair by pair, as in a binary tree: a window around the join is encoded anew and grows until what it replaces is,
+token for token, what each side has there, from one white space to the other. A run of characters that nothing splits is
+cut into leaves and joined in the same way; there the window is of tokens, and grows until its first token is a token of the
+left side, at the same place, and its last one of the right side. By the locality of merges the joined tokens are then those
+of the whole.
 """
 
 from __future__ import annotations
@@ -15,22 +17,36 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import pick
+from .common import pick, slim_batches
 
-#: Texts of more characters are encoded in pieces, on several executors.
+#: Texts of more characters are encoded in pieces of this size, on several executors.
 PIECE = 50_000
-#: An unsplit run (a pre-token) of more characters than this is cut into leaves of about this size.
-LEAF = 4_096
-#: Distinct words that a task remembers; then it starts afresh.
-REMEMBER = 50_000
+#: An unsplit run (a pre-token) of more characters than this is cut into leaves of this size.
+LEAF = 1_024
+#: A worker that remembers more words than this forgets all but those of the texts at hand.
+REMEMBER = 300_000
+#: Bytes of text that a task handles at a time.
+BYTES = 8_000_000
+
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: How a file of the kind `word_bpe` normalises and splits. There, a word of these letters alone becomes itself in
+#: lower case, and a full stop or a comma behind it a token of its own.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = [{"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}]
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_LOWER = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: The byte alphabet: what stands for the bytes that are no printable character of Latin-1.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 #: A tokenizer file with these parts is its model alone.
 _BARE = {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
@@ -47,6 +63,9 @@ class Codec:
         self.whole = Tokenizer.from_str(self._json)
         self.suffix = raw["model"].get("end_of_word_suffix") or ""
         self.token = {i: t for t, i in self.whole.get_vocab().items()}
+        pre = (raw["pre_tokenizer"] or {}).get("pretokenizers") or []
+        #: Whether words of letters may go to the model directly.
+        self.plain = (raw["normalizer"] or {}).get("normalizers") == _NORMALIZER and [x["pattern"] for x in pre[:1]] == _SPLIT and [x["type"] for x in pre[1:]] == ["ByteLevel"]
         self._added = re.compile("|".join(re.escape(t["content"]) for t in raw["added_tokens"]) or "(?!)")
 
     @cached_property
@@ -60,8 +79,42 @@ class Codec:
         raw = json.loads(self._json)
         return Tokenizer.from_str(json.dumps(raw | _BARE | {"model": raw["model"] | {"end_of_word_suffix": None}}))
 
-    def words(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, words: list[str], leaf: int = LEAF) -> list[bytes]:
+        """Of each word, as a text of its own; words of over `leaf` characters by their leaves. Ids as bytes."""
+        found: list[bytes] = [b""] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= leaf]
+        letters = [k for k in short if _LOWER.fullmatch(words[k])] if self.plain else []
+        rest = sorted(set(short).difference(letters)) if letters else short
+        for at, coder, spell in ((letters, self._end, self._bytes), (rest, self.whole, None)):
+            for lo in range(0, len(at), 10_000):
+                some = at[lo : lo + 10_000]
+                ids = [e.ids for e in coder.encode_batch_fast([spell(words[k]) if spell else words[k] for k in some], add_special_tokens=False)]
+                raw, end = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+                for k, x in zip(some, ids, strict=True):
+                    start, end = end, end + 4 * len(x)
+                    found[k] = raw[start:end]
+        for k, w in enumerate(words):
+            if len(w) > leaf:
+                found[k] = np.asarray(self.one(w, leaf), "<u4").tobytes()
+        return found
+
+    @staticmethod
+    def _bytes(word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+
+    def one(self, text: str, leaf: int) -> list[int]:
+        """Of a text that may have long runs, all in this process."""
+        parts = self.long_runs(text, leaf) if len(text) > leaf else None
+        if not parts:
+            return self.whole.encode(text, add_special_tokens=False).ids
+        ids: list[int] = []
+        for part, bare in parts:
+            if not bare:
+                ids += self.whole.encode(part, add_special_tokens=False).ids
+            else:
+                at = range(0, len(part), leaf)
+                ids += self.tree([self.bare(part[i : i + leaf], i == at[-1]) for i in at])
+        return ids
 
     def long_runs(self, text: str, leaf: int) -> list[tuple[str, bool]] | None:
         """Pieces of `text` that encode independently; those flagged are pre-tokens too long for one step. None: no such run."""
@@ -107,6 +160,35 @@ class Codec:
         half = len(parts) // 2
         return self.join(self.tree(parts[:half], False), self.tree(parts[half:], last), last)
 
+    def join_texts(self, left: tuple[str, list[int]], right: tuple[str, list[int]]) -> tuple[str, list[int]]:
+        """Text and tokens of the concatenation, from those of two parts of a text, cut anywhere."""
+        (a, ids_a), (b, ids_b) = left, right
+        n = 64
+        while True:
+            start = next((m.start() for m in _SPACE.finditer(a, max(0, len(a) - n))), None)
+            start = 0 if start is None and n >= len(a) else start
+            ends = [m.start() for m in _SPACE.finditer(b, 0, n)]
+            end = ends[-1] if ends else len(b) if n >= len(b) else None
+            if start is not None and end is not None:
+                old_a, old_b = self.one(a[start:], LEAF), self.one(b[:end], LEAF)
+                keep = len(ids_a) - len(old_a)
+                if keep >= 0 and ids_a[keep:] == old_a and ids_b[: len(old_b)] == old_b:
+                    return a + b, ids_a[:keep] + self.one(a[start:] + b[:end], LEAF) + ids_b[len(old_b) :]
+                if n >= max(len(a), len(b)):
+                    return a + b, self.one(a + b, LEAF)
+            n *= 2
+
+    def tree_of_texts(self, parts: list[tuple[str, list[int]]]) -> tuple[str, list[int]]:
+        if len(parts) == 1:
+            return parts[0]
+        half = len(parts) // 2
+        return self.join_texts(self.tree_of_texts(parts[:half]), self.tree_of_texts(parts[half:]))
+
+    @cached_property
+    def spelled(self) -> pa.BinaryArray:
+        """By id, a space and the token."""
+        return pa.array([f" {self.token.get(i, '')}".encode() for i in range(max(self.token) + 1)], pa.binary())
+
     def decode(self, ids: Iterable[int]) -> str:
         """As the file asks for: it names no decoder, so tokens are joined by spaces, special ones too."""
         return " ".join([self.token[i] for i in ids])
@@ -117,82 +199,135 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _words_coded(path: str, emit: Callable[[list], tuple], fields: list[pa.Field], decoded: bool = False) -> Callable:
-    """A function for mapInArrow over (id, text) batches. emit: from the coded words of a text to the added columns.
+class Words:
+    """The ids of words, as bytes; those met lately are remembered."""
+
+    def __init__(self, own: Codec, leaf: int) -> None:
+        self._own, self._leaf, self._known = own, leaf, {}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Of distinct words."""
+        known = self._known
+        found = list(map(known.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if missing:
+            known.update(zip(missing, self._own.encode(missing, self._leaf), strict=True))
+            found = list(map(known.__getitem__, words))
+        if len(known) > REMEMBER:
+            self._known = dict(zip(words, found, strict=True))
+        return found
+
+    def __call__(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Of distinct words. One of letters is looked up in lower case, and without a full stop or comma behind it."""
+        if not self._own.plain:
+            return pa.array(self._ids(words.to_pylist()), pa.binary())
+        plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+[.,]?$")
+        base = pc.if_else(plain, pc.utf8_rtrim(pc.utf8_lower(words), characters=".,"), words).dictionary_encode()
+        ids = pa.array(self._ids(base.dictionary.to_pylist()), pa.binary()).take(base.indices)
+        stop, comma = self._own.encode([".", ","])
+        behind = pc.case_when(pc.make_struct(pc.and_(plain, pc.ends_with(words, ".")), pc.and_(plain, pc.ends_with(words, ","))), pa.scalar(stop, pa.binary()), pa.scalar(comma, pa.binary()), pa.scalar(b"", pa.binary()))
+        return pc.binary_join_element_wise(ids, behind, pa.scalar(b"", pa.binary()))
 
-    A coded word is its ids as bytes and, if `decoded`, its tokens with a space before each.
-    """
+
+@lru_cache(2)
+def _remembered(path: str, leaf: int) -> Words:
+    return Words(codec(path), leaf)
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most about BYTES of text, at least a row each."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _coded(texts: pa.StringArray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and where each text begins and the last ends. No text is split but at ASCII white space."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.fill_null("")))
+    starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    flat = lists.flatten().dictionary_encode()
+    taken = words(flat.dictionary).take(flat.indices)
+    if not len(taken):
+        return np.zeros(0, "<u4"), np.zeros(len(starts), np.int64)
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+    ids = np.frombuffer(taken.buffers()[2], "<u4") if taken.buffers()[2] else np.zeros(0, "<u4")
+    return ids[ends[0] // 4 : ends[-1] // 4], (ends[starts] - ends[0]) // 4
+
+
+def _cells(ids: np.ndarray, at: np.ndarray, width: int) -> pa.BinaryArray:
+    """The ids of each text as binary, `width` bytes each."""
+    raw = ids.astype(f"<u{width}")
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _told(ids: np.ndarray, at: np.ndarray, own: Codec) -> list[pa.Array]:
+    """n_tokens, ids_sha256 and decoded_sha256."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    ids_sha = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    spelled = own.spelled.take(pa.array(ids))
+    if len(spelled):
+        ends = np.frombuffer(spelled.buffers()[1], np.int32)[spelled.offset :][at]
+        text = memoryview(spelled.buffers()[2])
+    else:
+        ends, text = at, memoryview(b"")
+    decoded = [hashlib.sha256(text[a + (b > a) : b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return [pa.array(np.diff(at), pa.int64()), pa.array(ids_sha), pa.array(decoded)]
+
+
+def _with_ids(path: str, leaf: int, width: int) -> Callable:
+    """For mapInArrow: replaces the column text by ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = codec(path), {}
+        words = _remembered(path, leaf)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in part.column("text").to_pylist()]
-                new = list({w for t in texts for w in t if w not in known})
-                if len(known) + len(new) > REMEMBER:
-                    known.clear()
-                    new = list({w for t in texts for w in t})
-                for lo in range(0, len(new), 20_000):
-                    some = new[lo : lo + 20_000]
-                    for w, ids in zip(some, own.words([w.decode("utf-8", "replace") for w in some]), strict=True):
-                        raw = np.asarray(ids, "<u4").tobytes()
-                        known[w] = (raw, "".join([f" {own.token[i]}" for i in ids]).encode()) if decoded else raw
-                rows = [emit([known[w] for w in t]) for t in texts]
-                kept = [part.column(f.name) for f in fields if f.name in part.schema.names]
-                made = [f for f in fields if f.name not in part.schema.names]
-                yield pa.RecordBatch.from_arrays(kept + [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(made)], schema=pa.schema(fields))
+            for part in _slices(batch, "text"):
+                kept = [n for n in part.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], _cells(*_coded(part.column("text"), words), width)], names=[*kept, "ids"])
 
     return run
 
 
-def _digest_row(words: list[tuple[bytes, bytes]]) -> tuple:
-    raw, decoded = b"".join([w[0] for w in words]), b"".join([w[1] for w in words])
-    return len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded[1:]).hexdigest()
+def _with_digests(path: str, leaf: int) -> Callable:
+    """For mapInArrow over doc_id and text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, words = codec(path), _remembered(path, leaf)
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_told(*_coded(part.column("text"), words), own)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-def _ids_row(words: list[bytes]) -> tuple:
-    return (b"".join(words),)
+    return run
 
 
 def cut_text(text: str, piece: int, leaf: int, own: Codec) -> list[tuple[int, str, str]]:
-    """(run, kind, part) in order: kind text is encoded as it is; inner and last are leaves of the pre-token `run`."""
+    """(run, kind, part) in order: kind text is encoded as it is; inner and last are leaves of the pre-token `run`.
+
+    Parts of kind text with one run were cut anywhere; parts of different runs encode independently.
+    """
     found: list[tuple[int, str, str]] = []
-    run = 0
-    start = 0
-    while start < len(text):
-        end = start + piece
-        if end < len(text):
-            space = re.compile(r"[\x20\x09-\x0D]").search(text, end)  # beyond it, so that no cut falls into a word
-            end = space.start() if space else len(text)
-        chunk = text[start:end]
-        tokens = None
-        for word in re.finditer(r"[^\x20\x09-\x0D]{%d,}" % (leaf + 1), chunk):
-            tokens = own.long_runs(word.group(0), leaf)
-            if tokens:
-                break
-        if not tokens:
-            found.append((run, "text", chunk))
-            run += 1
-        else:
-            at = 0
-            for word in re.finditer(r"[^\x20\x09-\x0D]{%d,}" % (leaf + 1), chunk):
-                tokens = own.long_runs(word.group(0), leaf)
-                if not tokens:
-                    continue
-                found.append((run, "text", chunk[at : word.start()]))
-                run += 1
-                at = word.end()
-                for token, bare in tokens:
-                    if not bare:
-                        found.append((run, "text", token))
-                    else:
-                        leaves = [token[i : i + leaf] for i in range(0, len(token), leaf)]
-                        found += [(run, "inner", x) for x in leaves[:-1]] + [(run, "last", leaves[-1])]
+    run = at = 0
+
+    def plain(part: str) -> None:
+        nonlocal run
+        found.extend((run, "text", part[i : i + piece]) for i in range(0, len(part), piece))
+        run += 1
+
+    for word in re.finditer(r"[^\x20\x09-\x0D]{%d,}" % (leaf + 1), text):
+        tokens = own.long_runs(word.group(0), leaf)
+        if tokens:
+            plain(text[at : word.start()])
+            at = word.end()
+            for token, bare in tokens:
+                if not bare:
+                    plain(token)
+                else:
+                    leaves = [token[i : i + leaf] for i in range(0, len(token), leaf)]
+                    found += [(run, "inner", x) for x in leaves[:-1]] + [(run, "last", leaves[-1])]
                     run += 1
-            found.append((run, "text", chunk[at:]))
-            run += 1
-        start = end
+    plain(text[at:])
     return found
 
 
@@ -202,59 +337,56 @@ def _cut(path: str, piece: int, leaf: int) -> Callable:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 parts = cut_text(row.text, piece, leaf, own)
-                yield pd.DataFrame({"doc_id": pd.array([row.doc_id] * len(parts), "Int64"), "row": row.row, "at": range(len(parts)), "run": [p[0] for p in parts], "kind": [p[1] for p in parts], "text": [p[2] for p in parts]})
+                yield pd.DataFrame({"row": row.row, "at": range(len(parts)), "run": [p[0] for p in parts], "kind": [p[1] for p in parts], "text": [p[2] for p in parts]})
 
     return run
 
 
-def _leaves(path: str) -> Callable:
+def _parts(path: str, leaf: int) -> Callable:
+    """Encodes parts of texts; those of kind text keep their text, which the joins look at."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for frame in frames:
-            ids = [own.bare(t, k == "last") for t, k in zip(frame["text"], frame["kind"], strict=True)]
-            yield frame.drop(columns="text").assign(ids=[np.asarray(x, "<u4").tobytes() for x in ids])
+            ids = [own.one(t, leaf) if k == "text" else own.bare(t, k == "last") for t, k in zip(frame["text"], frame["kind"], strict=True)]
+            yield frame.assign(ids=[np.asarray(x, "<u4").tobytes() for x in ids], text=frame["text"].where(frame["kind"] == "text"))
 
     return run
 
 
-def _joined(path: str) -> Callable:
+def _joined(path: str, width: int) -> Callable:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         own = codec(path)
         frame = frame.sort_values("at")
         parts = []
         for _, group in frame.groupby("run", sort=True):
-            coded = [np.frombuffer(x, "<u4") for x in group["ids"]]
-            parts.append(coded[0] if len(coded) == 1 else np.asarray(own.tree([c.tolist() for c in coded]), "<u4"))
-        ids = np.concatenate(parts)
-        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1].astype("Int64"), "row": [frame["row"].iloc[0]], "ids": [ids.astype("<u4").tobytes()]})
+            coded = [np.frombuffer(x, "<u4").tolist() for x in group["ids"]]
+            parts += own.tree_of_texts(list(zip(group["text"], coded, strict=True)))[1] if group["kind"].iloc[0] == "text" else own.tree(coded)
+        return pd.DataFrame({"row": frame["row"].iloc[:1], "ids": [np.asarray(parts, f"<u{width}").tobytes()]})
 
     return run
 
 
-_COUNTED = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-
-
-def _long_ids(docs: DataFrame, path: str, piece: int, leaf: int) -> DataFrame:
-    """doc_id, row and ids (binary) of texts longer than a piece."""
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    pieces = rows.mapInPandas(_cut(path, piece, leaf), "doc_id long, row long, at int, run int, kind string, text string").repartition("row", "at")
-    keys = [pa.field("doc_id", pa.int64()), pa.field("row", pa.int64()), pa.field("at", pa.int32()), pa.field("run", pa.int32()), pa.field("kind", pa.string())]
-    schema = "doc_id long, row long, at int, run int, kind string, ids binary"
-    plain = pieces.where("kind = 'text'").mapInArrow(_words_coded(path, _ids_row, [*keys, pa.field("ids", pa.binary())]), schema)
-    leaves = pieces.where("kind <> 'text'").mapInPandas(_leaves(path), schema)
-    return plain.unionByName(leaves).groupBy("row").applyInPandas(_joined(path), "doc_id long, row long, ids binary")
+def _long_ids(docs: DataFrame, path: str, piece: int, leaf: int, width: int = 4) -> DataFrame:
+    """doc_id and ids (binary) of texts longer than a piece. Equal rows are encoded once."""
+    same = docs.groupBy("doc_id", "text").agg(F.count("*").cast("int").alias("n")).withColumn("row", F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256))
+    pieces = same.select("row", "text").mapInPandas(_cut(path, piece, leaf), "row string, at int, run int, kind string, text string").repartition("row", "at")
+    coded = pieces.mapInPandas(_parts(path, leaf), "row string, at int, run int, kind string, text string, ids binary")
+    joined = coded.groupBy("row").applyInPandas(_joined(path, width), "row string, ids binary")
+    owners = same.select(F.col("row").alias("_row"), "doc_id", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    return owners.join(joined, F.col("row") == F.col("_row")).select("doc_id", "ids")
 
 
-def encode(docs: DataFrame, path: str, piece: int = PIECE, leaf: int = LEAF) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id and ids, the token ids as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, path: str, piece: int = PIECE, leaf: int = LEAF, width: int = 4) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id and ids, the token ids as little-endian unsigned integers of `width` bytes.
 
     Equal to the library's encoding of the whole text with add_special_tokens=False. Null and empty texts have no ids;
-    repeated rows each get a row; an empty table gives none.
+    repeated rows each get a row; an empty table gives none. Long texts and words of any length are encoded whole. Columns
+    beside doc_id and text are left out.
     """
     docs = _typed(docs)
-    fields = [pa.field("doc_id", pa.int64()), pa.field("ids", pa.binary())]
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(_words_coded(path, _ids_row, fields), "doc_id long, ids binary")
-    return short.unionByName(_long_ids(docs.where(F.length("text") > piece), path, piece, leaf).select("doc_id", "ids"))
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(_with_ids(path, leaf, width), "doc_id long, ids binary")
+    return short.unionByName(_long_ids(docs.where(F.length("text") > piece), path, piece, leaf, width))
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -269,20 +401,22 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, piece: int = PIECE, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; the ids themselves stay in the tasks."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; the ids themselves stay in the tasks. Edge cases as in encode()."""
     docs = _typed(docs)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    fields = [pa.field("doc_id", pa.int64()), *_COUNTED]
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(_words_coded(path, _digest_row, fields, decoded=True), schema)
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(_with_digests(path, leaf), schema)
 
-    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for frame in frames:
-            ids = frame["ids"]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(own.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest() for x in ids]})
+        for batch in batches:
+            for part in _slices(batch, "ids"):
+                raw = part.column("ids").to_pylist()
+                at = np.cumsum([0, *[len(x) // 4 for x in raw]])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_told(np.frombuffer(b"".join(raw), "<u4"), at, own)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return short.unionByName(_long_ids(docs.where(F.length("text") > piece), path, piece, leaf).select("doc_id", "ids").mapInPandas(told, schema))
+    return short.unionByName(_long_ids(docs.where(F.length("text") > piece), path, piece, leaf).mapInArrow(told, schema))
 
 
 def _typed(docs: DataFrame) -> DataFrame:
+    slim_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

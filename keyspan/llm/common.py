@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +30,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, as in tests: a temporary folder of a local session; on a cluster an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _local_folder()
+    return top.rstrip("/")
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints into the folder that all executors share; a temporary one only where none is set, as in tests."""
+    """Checkpoints into the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; in a temporary one only where none is set, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def slim_batches(spark: SparkSession) -> None:
+    """Hands texts to Python at most 2,000 rows at a time, unless the session says otherwise: they may be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
