@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Links that a task contracts at a time.
-LINKS = 500_000
+#: Tasks over which the links of one node are spread where they meet its least neighbour.
+SALTS = 8
 
 
 def union(pairs: Iterator[tuple], parent: dict) -> None:
@@ -40,21 +40,26 @@ def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": list(parent), "b": [root(x, parent) for x in parent]})
 
 
+def _salted(links: DataFrame) -> DataFrame:
+    return links.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("s"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root for every node of `links` (a, b) that has a smaller one in its component; root is the least.
 
-    Any number of links may share a node: its links are joined to one row per node and pre-aggregated. Nodes without a
+    Any number of links may share a node: they are pre-aggregated, and joined to one row per node under salts. Nodes without a
     link, and each root, are left out. Rounds go on until nothing changes; each is checkpointed.
     """
     kind = links.schema["a"].dataType.simpleString()
     edges = links.select("a", "b").where("a <> b").mapInPandas(_contracted, f"a {kind}, b {kind}").distinct()
     edges, before = cut(edges), None
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _salted(both.where("b > a")).join(least.select("a", "m", every_salt), ["a", "s"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        small = _salted(large).join(down.select("a", "m", every_salt), ["a", "s"]).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = cut(small.union(down.select("a", F.col("m").alias("b"))).distinct())
         state = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
         if before == (state["n"], state["s"]):

@@ -15,20 +15,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, slim_batches
 from .components import components
 from .hashing import BASES, Rolling, word_codes
+from .sketch import bitmaps, bits_for, has, parts_of
 
 #: Words in a shingle and least Jaccard similarity in percent where no contract says otherwise.
 SHINGLE, PERCENT = 5, 80
-#: Slots of the sketch: a power of two, about one for each four characters of text, within these bounds. Two bitmaps of it are broadcast: 2 x 128 MB at most.
+#: Bits of a slot's number in the sketch: about a slot for each four to eight characters of text, within these bounds. Two bitmaps of it are broadcast: 2 x 128 MB at most.
 LEAST_BITS, MOST_BITS = 16, 30
-#: Shingles seen more often than this come last in the order.
-OFTEN = 8
+#: Shingles seen more often than this come last in the order; where a full sketch has several shingles a slot, more often than
+#: so many times their number. Wherever the limit lies, it only moves shingles in the order.
+OFTEN, TIMES = 8, 4
 #: Shingles of a candidate group that one task holds; larger groups are compared block by block.
 BLOCK = 1_000_000
 #: Children of a tree node, and sets in a leaf.
@@ -52,41 +55,23 @@ def _first(sets: np.ndarray, share: int) -> np.ndarray:
     return sets[: np.searchsorted(sets, np.uint64(2**64 // share))]
 
 
-def _sketch(n: int, bits: int, share: int) -> Callable:
-    def told(kept: list[np.ndarray]) -> pa.RecordBatch:
-        slot, seen = np.unique(_slots(np.concatenate(kept), bits), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(seen)], names=["slot", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, kept, held = Rolling(BASES[0]), [], 0
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                for text in batch.column(0).slice(at, ROWS).to_pylist():
-                    kept.append(_first(_set(text, n, roll), share))
-                    held += len(kept[-1])
-                if held > 500_000:
-                    yield told(kept)
-                    kept, held = [], 0
-        if kept:
-            yield told(kept)
+def _slots_of(n: int, bits: int, share: int) -> Callable:
+    def slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        roll = Rolling(BASES[0])
+        for at in range(0, len(batch), ROWS):
+            for text in batch.column(0).slice(at, ROWS).to_pylist():
+                yield _slots(_first(_set(text, n, roll), share), bits)
 
-    return run
+    return slots
 
 
 def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes * BASES[1]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bitmaps(docs: DataFrame, n: int, bits: int, share: int) -> list[bytes]:
+def _bitmaps(docs: DataFrame, n: int, bits: int, share: int, often: int) -> list[bytes]:
     """The bits "seen twice or more" and "seen often" of the merged sketch."""
-    counters = docs.select("text").mapInArrow(_sketch(n, bits, share), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    at = F.bitmap_bit_position(F.col("slot") + 1)
-    maps = counters.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("at")).agg(F.bitmap_construct_agg(at).alias("twice"), F.bitmap_construct_agg(F.when(F.col("n") > OFTEN, at)).alias("often"))
-    out = np.zeros((2, (1 << bits) // 8), np.uint8)
-    for r in maps.toLocalIterator():
-        for k in (0, 1):
-            out[k, (r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(bytes(r["often" if k else "twice"]), np.uint8)
-    return [x.tobytes() for x in out]
+    return bitmaps(parts_of(docs.select("text"), _slots_of(n, bits, share), often + 1), bits, (1, often))
 
 
 def prefix_length(size: np.ndarray | int, percent: int):
@@ -100,7 +85,6 @@ def _sets(n: int, percent: int, bits: int, share: int, maps: Broadcast) -> Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling(BASES[0])
         twice, often = (np.frombuffer(x, np.uint8) for x in maps.value)
-        seen = lambda bit, slot: (bit[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 sizes, digests, shown, tokens = [], [], [], []
@@ -108,7 +92,7 @@ def _sets(n: int, percent: int, bits: int, share: int, maps: Broadcast) -> Calla
                     own = _set(text, n, roll)
                     low = _first(own, share)
                     slot = _slots(low, bits)
-                    rank = seen(twice, slot) + seen(often, slot)
+                    rank = has(twice, slot) + has(often, slot)
                     most = int(prefix_length(len(own), percent)) if len(own) else 0
                     order = np.argsort(rank, kind="stable")[:most]
                     few = low[order[rank[order] > 0]]
@@ -124,8 +108,6 @@ def _sets(n: int, percent: int, bits: int, share: int, maps: Broadcast) -> Calla
 
 
 def _digest(own: np.ndarray) -> bytes:
-    import xxhash
-
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
@@ -245,11 +227,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     with one doc_id: each gets a row, and all rows of a doc_id the least component of any. An empty table gives none.
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim_batches(docs.sparkSession)
     share = max(2, 50 // max(1, 100 - percent))  # the sketch covers about twice the shingles that sets show
+    often = OFTEN
     if sketch_bits is None:
         chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        sketch_bits = min(MOST_BITS, max(LEAST_BITS, (chars // 8).bit_length()))
-    maps = docs.sparkSession.sparkContext.broadcast(_bitmaps(docs, shingle, sketch_bits, share))
+        sketch_bits = bits_for(chars // 8, LEAST_BITS, MOST_BITS)
+        often = max(OFTEN, TIMES * (chars // 8 >> sketch_bits))
+    maps = docs.sparkSession.sparkContext.broadcast(_bitmaps(docs, shingle, sketch_bits, share, often))
     rows = cut(docs.mapInArrow(_sets(shingle, percent, sketch_bits, share, maps), "doc_id long, n_shingles long, digest binary, shown array<long>, tokens array<long>"))
 
     # Equal sets first: the least doc_id of each stands for all.
@@ -265,9 +250,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     member = near.select(F.col("node").alias("digest"), F.col("root").alias("group")).union(near.select("root", "root").distinct())
 
     wanted = member.join(leaders, "digest").select("digest", "node", "group")
-    held = filled.join(wanted, (filled["digest"] == wanted["digest"]) & (filled["doc_id"] == wanted["node"])).select("group", "node", "n_shingles", "tokens").dropDuplicates(["node"])
+    held = filled.join(wanted, (filled["digest"] == wanted["digest"]) & (filled["doc_id"] == wanted["node"])).select("group", filled["digest"], "node", "n_shingles", "tokens").dropDuplicates(["digest"])
     blocks = held.groupBy("group").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("n")).withColumnRenamed("group", "_group")
-    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    own = F.pmod(F.xxhash64("digest"), F.col("n")).cast("int")
     paired = held.join(blocks, F.col("group") == F.col("_group")).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     paired = paired.select("group", "node", "block", "tokens", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"))
     verified = paired.groupBy("group", "ci", "cj").applyInPandas(_compared(percent), "a long, b long")
