@@ -33,18 +33,24 @@ def _grams(words: Column, k: int) -> Column:
     return F.coalesce(let(hashes, every), F.array().cast("array<bigint>"))
 
 
-def _winnowed(grams: Column, w: int) -> Column:
-    """The least of every w grams in a row, each once."""
-    every = lambda g: F.when(F.size(g) >= w, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(g) - w), lambda i: F.least(*[g[i + j] for j in range(w)]))))
+def _least(grams: Column, w: int) -> Column:
+    """The least of every w grams in a row."""
+    every = lambda g: F.when(F.size(g) >= w, F.transform(F.sequence(F.lit(0), F.size(g) - w), lambda i: F.least(*[g[i + j] for j in range(w)])))
     return F.coalesce(let(grams, every), F.array().cast("array<bigint>"))
 
 
-def _spelled(words: Column, start: Column, n: int) -> Column:
-    return lower_ascii(F.array_join(F.slice(words, start + 1, n), " "))
+def _runs(marks: Column) -> Column:
+    """Equal neighbours as one: mark, where it begins (s) and how often it stands there (n)."""
+
+    def told(m: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (m[i] != F.get(m, i - 1)))
+        return let(at, lambda a: F.transform(a, lambda i, k: F.struct(m[i].alias("mark"), i.alias("s"), (F.coalesce(F.get(a, k + 1), F.size(m)) - i).alias("n"))))
 
+    return let(marks, lambda m: F.when(F.size(m) > 0, told(m)))
 
-def _starts(last: Column) -> Column:
-    return F.when(last >= 0, F.sequence(F.lit(0), last))
+
+def _spelled(words: Column, start: Column, n: Column) -> Column:
+    return lower_ascii(F.array_join(F.slice(words, start + 1, n), " "))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -61,37 +67,42 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     items = pick(items, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
     lengths = [r[0] for r in items.where(F.size("words").between(1, window - 1)).select(F.size("words")).distinct().collect()]  # fewer than `window` numbers
 
-    long_items = items.where(F.size("words") >= window)
-    whole = items.where(F.size("words").between(1, window - 1))
-    windows = long_items.select("item_id", F.explode(_starts(F.size("words") - window)).alias("s"), "words").select("item_id", _spelled(F.col("words"), F.col("s"), window).alias("window"))
-    windows = windows.union(whole.select("item_id", lower_ascii(F.array_join("words", " ")).alias("window"))).distinct()
+    wide = F.least(F.size("words"), F.lit(window))
+    windows = items.where(F.size("words") > 0).select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - wide), lambda s: _spelled(F.col("words"), s, wide))).alias("window")).distinct()
     distinct_windows = windows.select("window").distinct()
     if is_small(distinct_windows, broadcast_rows):
         distinct_windows = F.broadcast(distinct_windows)
 
-    marks = long_items.select(F.explode(_winnowed(_grams(F.col("words"), gram), window - gram + 1)).alias("mark")).distinct()
-    grams = split.where(F.size("words") >= window).withColumn("grams", _grams(F.col("words"), gram))
-    marked = grams.select("doc_id", "_hash", "words", "grams", F.explode(_winnowed(F.col("grams"), window - gram + 1)).alias("mark"))
-    if is_small(marks, broadcast_rows):
-        hit = marked.join(F.broadcast(marks), "mark")
-    else:  # the marks meet without the words, and only documents with hits are sent to them
-        found = marked.select("doc_id", "_hash", "mark").join(marks, "mark", "left_semi").distinct().select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "mark")
-        hit = grams.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    at = F.filter(F.transform("grams", lambda g, i: F.when(g == F.col("mark"), i)), lambda i: i.isNotNull())
-    around = F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - (window - gram), F.lit(0)), F.least(p, F.size("words") - window))))
-    spans = hit.select("doc_id", "_hash", "words", F.explode(F.array_distinct(around)).alias("s")).select("doc_id", "_hash", "s", F.lit(window).alias("n"), _spelled(F.col("words"), F.col("s"), window).alias("window"))
-    short = [split.select("doc_id", "_hash", F.explode(_starts(F.size("words") - n)).alias("s"), "words").select("doc_id", "_hash", "s", F.lit(n).alias("n"), _spelled(F.col("words"), F.col("s"), n).alias("window")) for n in sorted(lengths)]
+    # Where the fingerprints of a document meet those of items: windows from s on, n of them. Arrays of words are never
+    # repeated for each fingerprint, so that the work grows with the length of a text and not with its square.
+    met = []
+    for n in [window, *sorted(lengths)]:
+        own = F.size("words") >= window if n == window else F.size("words") == n
+        marks = _least(_grams(F.col("words"), gram), window - gram + 1) if n == window else _grams(F.col("words"), n)
+        told = split.where(F.size("words") >= n).select("doc_id", "_hash", F.inline(_runs(marks)))
+        wanted = items.where(own).select(F.explode(marks).alias("mark")).distinct()
+        if is_small(wanted, broadcast_rows):
+            wanted = F.broadcast(wanted)
+        met.append(told.join(wanted, "mark", "left_semi").select("doc_id", "_hash", F.struct(F.lit(n).alias("w"), "s", "n").alias("run")))
+    key = ["doc_id", "_hash"]
+    found = cut(reduce(DataFrame.union, met).groupBy(*key).agg(F.collect_set("run").alias("runs")).withColumnsRenamed({"doc_id": "_id", "_hash": "_h"}))
+    size = found.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+
+    # There the windows are spelled out.
+    hit = split.join(F.broadcast(found) if size <= broadcast_rows else found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    each = lambda r: F.transform(F.sequence(r["s"], r["s"] + r["n"] - 1), lambda s: F.struct(s.alias("s"), r["w"].alias("n"), _spelled(F.col("words"), s, r["w"]).alias("window")))
+    spans = hit.select(*key, F.inline(F.flatten(F.transform("runs", each))))
     # Only documents with hits have spans, and two aggregates read them: they are written once.
-    spans = cut(reduce(DataFrame.union, short, spans).join(distinct_windows, "window", "left_semi").distinct())
+    spans = cut(spans.join(distinct_windows, "window", "left_semi").distinct())
 
-    key = ["doc_id", "_hash"]
     covered = spans.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1))))).cast("long").alias("n_hit"))
     listed = spans.select(*key, "window").distinct().join(windows, "window").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    docs = docs.select(*key, n_words.alias("n_words"))
     for side in (covered, listed):
         other = side.withColumnsRenamed({"doc_id": "_id", "_hash": "_h"})
         docs = docs.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_h")), "left").drop("_id", "_h")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "_hash", n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return docs.select(*key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
