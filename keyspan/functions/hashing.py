@@ -62,9 +62,32 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+#: Bytes of a matrix of keys padded to one length; longer keys are taken in smaller groups.
+MATRIX_BYTES = 16_000_000
+
+
+def _by_length(keys: list[bytes]) -> list[np.ndarray]:
+    """Places of keys in groups of like length, so that one long key doesn't pad the others."""
+    sizes = np.array([len(k) for k in keys], np.int64)
+    groups, start = [], 0
+    order = np.argsort(sizes, kind="stable")
+    for i in range(1, len(order) + 1):
+        if i == len(order) or (i - start + 1) * (sizes[order[i]] + 16) > MATRIX_BYTES:
+            groups.append(order[start:i])
+            start = i
+    return groups
+
+
 def murmur3_x64_128(keys: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both halves of the public 128-bit Murmur3 for x64, for all keys at once: bytes are padded to a matrix of blocks and
-    shorter keys sit out the blocks that they don't have."""
+    """Both halves of the public 128-bit Murmur3 for x64."""
+    h1, h2 = np.zeros(len(keys), _U), np.zeros(len(keys), _U)
+    for at in _by_length(keys):
+        h1[at], h2[at] = _murmur3([keys[i] for i in at], seed)
+    return h1, h2
+
+
+def _murmur3(keys: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all keys at once: bytes are padded to a matrix of blocks and shorter keys sit out the blocks that they don't have."""
     sizes = np.array([len(k) for k in keys], np.int64)
     blocks = int(sizes.max(initial=0)) // 16 + 1
     words = np.zeros((len(keys), blocks * 2), _U)
@@ -119,17 +142,30 @@ def _crc_table() -> np.ndarray:
     return table
 
 
-_CRC = [int(x) for x in _crc_table()]
+_CRC = _crc_table()
 
 
-def crc32c_of(data: bytes) -> int:
-    crc = MASK
-    for byte in data:
-        crc = _CRC[(crc ^ byte) & 0xFF] ^ (crc >> 8)
-    return crc ^ MASK
+def crc32c_of(data: list[bytes]) -> np.ndarray:
+    """CRC-32C of each, byte place by byte place for all that are so long."""
+    out = np.zeros(len(data), np.int64)
+    for at in _by_length(data):
+        sizes = np.array([len(data[i]) for i in at], np.int64)
+        raw = np.zeros((len(at), int(sizes.max(initial=0))), np.uint8)
+        for row, i in enumerate(at):
+            raw[row, : sizes[row]] = np.frombuffer(data[i], np.uint8)
+        crc = np.full(len(at), MASK, np.uint32)
+        for place in range(raw.shape[1]):
+            first = int(np.searchsorted(sizes, place, "right"))  # sizes rise, so the rest is at least so long
+            crc[first:] = _CRC[(crc[first:] ^ raw[first:, place]) & np.uint32(0xFF)] ^ (crc[first:] >> np.uint32(8))
+        out[at] = crc ^ np.uint32(MASK)
+    return out
 
 
 @F.pandas_udf(T.LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C (Castagnoli) of binary values."""
-    return data.map(lambda d: None if d is None else crc32c_of(bytes(d))).astype("Int64")
+    out = pd.Series([None] * len(data), dtype="Int64")
+    full = data.notna().to_numpy()
+    if full.any():
+        out[full] = crc32c_of([bytes(d) for d in data[full]])
+    return out

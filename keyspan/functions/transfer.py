@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,14 @@ class FixedPoint:
     bytes: int = 3
     seed: int | None = None
 
+    @classmethod
+    def of(cls, df: DataFrame, column: str, bytes: int = 3, seed: int | None = None) -> FixedPoint:
+        """With the least and the greatest value of a column as limits; of a constant or empty one, a range of 1."""
+        x = F.col(column).cast("double")
+        low, high = df.agg(F.min(x), F.max(x)).first()
+        low = 0.0 if low is None else low
+        return cls(low, high if high is not None and high > low else low + 1.0, bytes, seed)
+
     @property
     def steps(self) -> float:
         return float((1 << (8 * self.bytes)) - 2)

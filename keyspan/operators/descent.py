@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import KeyRange, in_range
@@ -95,14 +97,16 @@ def step_columns(w: Column, delta: Column, g: Column, u: Column, screen: Column
 
 
 def weight_update(model: DataFrame, grad: DataFrame, cfg: DescentConfig, screen: float = NO_SCREEN) -> DataFrame:
-    """(key, w, delta, active, change, violation): the model after one block. Keys that are inactive, or outside the block
-    (without a gradient), stay."""
-    joined = model.select("key", "w", "delta", "active").join(grad, "key", "left")
+    """(key, w, delta, active, change, violation) and what else the model has: the model after one block. Keys that are
+    inactive, or outside the block (without a gradient), stay."""
+    own = [c for c in model.columns if c not in ("key", "w", "delta", "active")]
+    joined = model.join(grad, "key", "left")
     columns = step_columns(F.col("w"), F.col("delta"), F.col("g"), F.col("u"), screen, cfg)
     moved = F.col("active") & F.col("g").isNotNull()
     told = joined.withColumns({k: F.when(moved, c).otherwise(F.lit(False) if k == "screened" else F.lit(0.0)) for k, c in columns.items()})
     delta = F.least(F.lit(float(cfg.delta_most)), 2 * F.abs("change") + 0.1)
     return told.select(
+        *own,
         "key",
         (F.col("w") + F.col("change")).alias("w"),
         F.when(moved & ~F.col("screened"), delta).otherwise(F.col("delta")).alias("delta"),
@@ -143,47 +147,86 @@ class Progress:
     relative: float
 
 
-def train(entries: DataFrame, rows: DataFrame, plan: list[tuple[int, KeyRange]], cfg: DescentConfig, report: Callable[[Progress], None] | None = None, save: Callable[[DataFrame, int], None] | None = None, init: DataFrame | None = None) -> DataFrame:
+def _work_folder(spark: SparkSession, work: str | None) -> str:
+    top = work or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        raise ValueError("give a folder that the driver and all executors share, or set spark.checkpoint.dir")
+    return f"{top.rstrip('/')}/descent-{uuid.uuid4().hex}"
+
+
+#: Files over which the entries of a block are spread at most.
+PARTS_A_BLOCK = 32
+#: The block of keys that no block of the plan holds; they keep their weights.
+NO_BLOCK = -1
+
+
+def stored_blocks(entries: DataFrame, plan: list[tuple[int, KeyRange]], path: str) -> DataFrame:
+    """(row_id, slot, key, val, block): the entries in a folder for each block, so that a step reads its own and no other."""
+    ranges: dict[int, list[tuple[int, KeyRange]]] = {}
+    for i, (slot, keys) in enumerate(plan):
+        ranges.setdefault(slot, []).append((i, keys))
+    block = F.lit(NO_BLOCK)
+    for slot, own in ranges.items():
+        inside = F.lit(NO_BLOCK)
+        for i, keys in own:
+            inside = F.when(in_range(F.col("key"), keys.begin, keys.end), F.lit(i)).otherwise(inside)
+        block = F.when(F.col("slot") == slot, inside).otherwise(block)
+    dealt = entries.select("row_id", "slot", "key", "val", block.alias("block")).repartition("block", F.pmod(F.xxhash64("row_id"), F.lit(PARTS_A_BLOCK)))
+    dealt.write.partitionBy("block").parquet(path)
+    return entries.sparkSession.read.schema("row_id long, slot int, key long, val double, block int").parquet(path)
+
+
+def train(entries: DataFrame, rows: DataFrame, plan: list[tuple[int, KeyRange]], cfg: DescentConfig, report: Callable[[Progress], None] | None = None, save: Callable[[DataFrame, int], None] | None = None, init: DataFrame | None = None, work: str | None = None) -> DataFrame:
     """(key, slot, w, delta, active) after training on entries (row_id, slot, key, val) and rows (row_id, y).
 
-    delay + 1 blocks in a row see the same margins and are one plan. Model and margins are checkpointed at each step, so a lost
-    executor costs its partitions and no more. Only sums of a pass reach the driver.
+    The entries are computed once and written by block to `work` (spark.checkpoint.dir if None); a step reads the files of
+    its block alone. The model is kept block by block: a step joins and writes its own keys. delay + 1 blocks in a row see
+    the same margins and are one plan. What a step makes is checkpointed, so a lost executor costs its partitions and no
+    more. Only sums of a step or pass reach the driver. `report` gets each pass's progress, `save` the model (key, w) every
+    cfg.save_every passes.
     """
     from .localize import score
 
-    model = start_model(entries, cfg, init).checkpoint()
+    spark = entries.sparkSession
+    folder = _work_folder(spark, work)
+    stored = stored_blocks(entries, plan, f"{folder}/entries")
+    start = start_model(stored, cfg, init).join(stored.select("key", "block").distinct(), "key")
+    start.write.partitionBy("block").parquet(f"{folder}/model")
+    whole = spark.read.schema("key long, slot int, w double, delta double, active boolean, block int").parquet(f"{folder}/model")
+    models = {b: whole.where(F.col("block") == b) for b in [NO_BLOCK, *range(len(plan))]}
+    every = lambda: reduce(DataFrame.union, models.values()).select("key", "slot", "w", "delta", "active")
+
     state = rows.select("row_id", "y")
-    state = state.withColumn("m", F.lit(0.0)) if init is None else state.join(score(entries, model, rows).withColumnRenamed("score", "m"), "row_id")
+    state = state.withColumn("m", F.lit(0.0)) if init is None else state.join(score(stored, whole, rows).withColumnRenamed("score", "m"), "row_id")
     state = state.checkpoint()
     screen, before, lifted = NO_SCREEN, None, False
-    n_rows = rows.count()
+    n_rows = state.count()
     for turn in range(cfg.passes):
         worst = 0.0
         order = block_order(plan, turn, cfg)
         for at in range(0, len(order), cfg.delay + 1):
-            some = [plan[i] for i in dict.fromkeys(order[at : at + cfg.delay + 1])]
-            here = F.lit(False)
-            for slot, keys in some:
-                here = here | ((F.col("slot") == slot) & in_range(F.col("key"), keys.begin, keys.end))
-            part = entries.where(here)
-            new = weight_update(model, block_gradient(part, state, model.where(here)), cfg, screen).join(model.select("key", "slot"), "key").checkpoint()
+            some = list(dict.fromkeys(order[at : at + cfg.delay + 1]))
+            part = stored.where(F.col("block").isin(some))
+            model = reduce(DataFrame.union, [models[b] for b in some])
+            new = weight_update(model, block_gradient(part, state, model), cfg, screen).checkpoint()
             worst = max(worst, new.agg(F.max("violation")).first()[0] or 0.0)
             state = margin_update(state, part, new).checkpoint()
-            model = new.select("key", "slot", "w", "delta", "active")
-        found = objective(state, model, cfg).first()
+            for b in some:
+                models[b] = new.where(F.col("block") == b).select(*whole.columns)
+        found = objective(state, every(), cfg).first()
         now = found["loss"] + found["penalty"]
         relative = 1.0 if before is None else before / now - 1
         before = now
         if report:
             report(Progress(turn, now, found["nnz"], found["active"], worst, relative))
         if save and cfg.save_every and (turn + 1) % cfg.save_every == 0:
-            save(model, turn)
+            save(every().select("key", "w"), turn + 1)
         screen = worst / n_rows * cfg.screen_ratio
         if 0 < relative <= cfg.epsilon:
             if lifted:
                 break
             lifted = True
-            model = model.withColumn("active", F.lit(True))
+            models = {b: m.withColumn("active", F.lit(True)) for b, m in models.items()}
         else:
             lifted = False
-    return model
+    return every()

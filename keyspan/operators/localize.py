@@ -15,16 +15,13 @@ PARTS = 64
 def dictionary(keys: DataFrame, parts: int = PARTS) -> DataFrame:
     """(key, rank): distinct keys in unsigned order, ranks from 0.
 
-    Keys are sorted in ranges; each range counts its own ranks and starts after the keys of those before it, so no task
+    Keys are sorted in ranges that hold about as many keys each; each range counts its own ranks and starts after the keys of those before it, so no task
     sees them all.
     """
-    # The range is the top bits of the key as an unsigned number, found without sampling.
     spread = keys.select("key").distinct().withColumn("_o", order_key(F.col("key")))
-    bounds = spread.agg(F.min("_o").alias("lo"), F.max("_o").alias("hi")).first()
-    if bounds["lo"] is None:
-        return spread.select("key", F.lit(0).cast("bigint").alias("rank")).where("false")
-    width = (bounds["hi"] - bounds["lo"]) // parts + 1
-    part = F.floor((F.col("_o").cast("decimal(20,0)") - F.lit(str(bounds["lo"])).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int")
+    # Quantiles of the keys themselves, so that ranges hold about as many keys each wherever the keys lie.
+    cuts = spread.agg(F.percentile_approx("_o", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    part = sum([(F.col("_o") >= F.lit(b)).cast("int") for b in sorted(set(cuts or []))], F.lit(0))
     dealt = spread.withColumn("_p", part)
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("n"))  # at most `parts` rows
     before = F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.objective import ADAGRAD_STATE, FTRL_STATE, LOSSES, AdaGrad, Ftrl
@@ -54,9 +54,23 @@ def train(batches: Iterable[tuple[DataFrame, DataFrame]], rule: Rule, loss: str
     return state
 
 
+def number_rows(rows: DataFrame, order: str = "row_id", by: tuple[str, ...] = (), width: int = 20) -> DataFrame:
+    """Rows with `n`, their place from 1 in the order of a whole-number column without repeats, within each group of `by`.
+
+    Numbers may have gaps, as row_id has. Places are counted in spans of 2**width numbers, so no task sorts more than that
+    many rows; what is before a span comes from a table with a row for each span.
+    """
+    spans = rows.withColumn("_p", F.shiftright(F.col(order), width))
+    sizes = spans.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*by, "_p", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(order))
+    return spans.join(starts, [*by, "_p"]).withColumn("n", (F.col("_start") + own).cast("bigint")).select(*rows.columns, "n")
+
+
 def with_batch(rows: DataFrame, size: int, order: str = "row_id") -> DataFrame:
-    """Rows with their minibatch when `order` counts from 1 without gaps: numbers to size are batch 0 and so on."""
-    return rows.withColumn("batch", F.floor((F.col(order) - 1) / size).cast("bigint"))
+    """Rows with their minibatch: the first `size` rows in order are batch 0 and so on, whatever gaps `order` has."""
+    return number_rows(rows, order).withColumn("batch", F.floor((F.col("n") - 1) / size).cast("bigint")).drop("n")
 
 
 def weight_change(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -83,7 +97,7 @@ def merge_progress(progress: DataFrame) -> DataFrame:
 
 def key_fold(pushes: DataFrame, value: str, order: list[str], rule: Rule) -> DataFrame:
     """(key, state): each key's pushes applied one by one in order, as a server would."""
-    return MapStore(rule.start(), rule.step, state_kind(rule)).fold(pushes, value, order)
+    return MapStore(rule.start(), rule.step, state_kind(rule)).fold_all(pushes, value, order)
 
 
-__all__ = ["apply_gradient", "auc", "batch_metrics", "gradient", "key_fold", "merge_progress", "superstep", "train", "weight_change", "with_batch"]
+__all__ = ["apply_gradient", "auc", "batch_metrics", "gradient", "key_fold", "merge_progress", "number_rows", "superstep", "train", "weight_change", "with_batch"]

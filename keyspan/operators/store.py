@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import KeyRange, range_index
 from ..functions.merge import MERGE
 
+#: Values of one key that a row may hold.
+MOST_FOLDED = 1_000_000
 #: Layers of fewer elements than this go to one part as a whole.
 WHOLE_LAYER = 1000
 
@@ -68,7 +70,7 @@ class MapStore:
 
     def fold(self, pushes: DataFrame, value: str, order: list[str], state: DataFrame | None = None) -> DataFrame:
         """(key, state) after all pushes (key, value, order columns), from `state` (key, state) if given. Each key's values
-        come together in one row; a key with more than fits a row needs fold_batches()."""
+        come together in one row; fold_all() bounds how many."""
         ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
         seen = pushes.groupBy("key").agg(ordered.alias("_e"))
         if state is None:
@@ -77,6 +79,19 @@ class MapStore:
         begin = F.coalesce(F.col("state"), self.start.cast(self.kind))
         return joined.select("key", F.when(F.col("_e").isNull(), begin).otherwise(F.aggregate("_e", begin, lambda s, e: self.step(s, e["_v"]))).alias("state"))
 
+    def fold_all(self, pushes: DataFrame, value: str, order: list[str], most: int = MOST_FOLDED) -> DataFrame:
+        """The same for keys with any number of pushes: a row holds at most `most` values of a key, the state goes from one
+        round to the next. A key's pushes are one after another by nature; all keys go on at once."""
+        longest = pushes.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if longest <= most:
+            return self.fold(pushes, value, order)
+        at = F.row_number().over(Window.partitionBy("key").orderBy(*order))
+        rounds = pushes.withColumn("_round", F.floor((at - 1) / most)).checkpoint()
+        state = None
+        for i in range(-(-longest // most)):
+            state = self.fold(rounds.where(F.col("_round") == i), value, order, state).checkpoint()
+        return state
+
     def fold_batches(self, batches: list[DataFrame], value: str, order: list[str]) -> DataFrame:
         """The same, batch after batch: a row holds one batch's values of a key."""
         state = None

@@ -157,15 +157,15 @@ def matrix_info(spark: SparkSession, d: str) -> DataFrame:
     "block_plan",
     f"""WITH {PROFILE}, n AS (SELECT *, CASE WHEN nnz_ele / nnz_ex::DOUBLE > 1 + 1e-6 THEN greatest(ceil(nnz_ele / nnz_ex::DOUBLE * 4)::BIGINT, 1) ELSE 1 END AS parts FROM profiled),
 cuts AS (SELECT slot, unnest(range(parts)) AS i, parts, min_key, max_key FROM n)
-SELECT slot, i AS block, min_key + ((max_key - min_key) * i // parts) AS begin_key, min_key + ((max_key - min_key) * (i + 1) // parts) AS end_key FROM cuts WHERE (max_key - min_key) * i // parts < (max_key - min_key) * (i + 1) // parts""",
+SELECT slot, row_number() OVER (PARTITION BY slot ORDER BY i) - 1 AS block, min_key + ((max_key - min_key) * i // parts) AS begin_key, min_key + ((max_key - min_key) * (i + 1) // parts) AS end_key FROM cuts WHERE (max_key - min_key) * i // parts < (max_key - min_key) * (i + 1) // parts""",
 )
 def block_plan(spark: SparkSession, d: str) -> DataFrame:
-    p = profiled(spark, d)
-    each = F.col("nnz_ele") / F.col("nnz_ex")
-    n = F.when(each > 1 + 1e-6, F.greatest(F.ceil(each * 4), F.lit(1))).otherwise(F.lit(1))
-    size = (F.col("max_key") - F.col("min_key")).cast("bigint")
-    cut = lambda i: F.col("min_key").cast("bigint") + F.expr("size * cut div n") if i == 0 else F.col("min_key").cast("bigint") + F.expr("size * (cut + 1) div n")
-    return p.select("slot", "min_key", size.alias("size"), n.alias("n")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("slot", F.col("cut").cast("bigint").alias("block"), cut(0).alias("begin_key"), cut(1).alias("end_key")).where("begin_key < end_key")
+    slots = [(x["slot"], int(x["min_key"]), int(x["max_key"]), x["nnz_ele"], x["nnz_ex"]) for x in profiled(spark, d).collect()]  # three slots
+    plan, at = [], {}
+    for s, keys in descent.block_plan(slots, 4.0):
+        plan.append((s, at.setdefault(s, 0), keys.begin, keys.end))
+        at[s] += 1
+    return spark.createDataFrame(plan, "slot int, block bigint, begin_key bigint, end_key bigint")
 
 
 @query("array_reductions", "SELECT label, round(sum(x), 3) AS total, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, count(*) FILTER (x <> 0) AS nnz, round(min(x), 6) AS least, round(max(x), 6) AS most FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label")
@@ -371,10 +371,14 @@ def even_divide_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "range_partition_slices",
-    "SELECT part, count(*) AS n FROM (SELECT least(k // 2635249153387078802, 6)::BIGINT AS part FROM (SELECT CASE WHEN x >= 0 THEN x::HUGEINT ELSE x + 18446744073709551616 END AS k FROM (SELECT DISTINCT ((l_partkey - 1000) * 4000000000000000 // 1)::BIGINT AS x FROM lineitem WHERE l_partkey BETWEEN 1 AND 2000))) GROUP BY part",
+    "SELECT part, count(*) AS n FROM (SELECT least(k // 2635249153387078802, 6)::BIGINT AS part FROM (SELECT DISTINCT l_partkey::HUGEINT * 6148914691236517 % 18446744073709551616 AS k FROM lineitem)) GROUP BY part",
 )
 def range_partition_slices(spark: SparkSession, d: str) -> DataFrame:
-    k = read(spark, d, "lineitem").where("l_partkey between 1 and 2000").select(((F.col("l_partkey") - 1000) * 4000000000000000).alias("key")).distinct()
+    # Spread over all 64 bits: a product modulo 2**64.
+    wide = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    key = (F.col("l_partkey").cast("decimal(18,0)") * F.lit("6148914691236517").cast("decimal(18,0)")) % wide(1 << 64)
+    key = F.when(key >= wide(1 << 63), key - wide(1 << 64)).otherwise(key).cast("bigint")
+    k = read(spark, d, "lineitem").select(key.alias("key")).distinct()
     held = store.VectorStore(k.select(F.lit(0).alias("channel"), "key", F.array(F.lit(0.0)).alias("value")))
     return held.slices(K.KeyRange.all().divide(7)).groupBy(F.col("part").cast("bigint").alias("part")).agg(F.count("*").alias("n"))
 
@@ -667,7 +671,7 @@ query("ftrl_supersteps_3", _supersteps_sql(FTRL_STEP, ("w", "z", "n")))(_superst
 query("adagrad_supersteps_3", _supersteps_sql(ADAGRAD_STEP, ("w", "s")))(_supersteps(ADAGRAD))
 
 
-@query("minibatch_metrics", f"WITH {MARGINS} SELECT floor((row_id - 1) / 1000)::BIGINT AS batch, count(*) AS n, round(sum(ln(1 + exp(-y * m))), 3) AS objective, round(greatest(acc, 1 - acc), 6) AS accuracy FROM (SELECT *, avg(CASE WHEN (y > 0 AND m > 0) OR (y < 0 AND m <= 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY floor((row_id - 1) / 1000)) AS acc FROM margins) GROUP BY 1, acc")
+@query("minibatch_metrics", f"WITH {MARGINS} SELECT batch, count(*) AS n, round(sum(ln(1 + exp(-y * m))), 3) AS objective, round(greatest(acc, 1 - acc), 6) AS accuracy FROM (SELECT *, avg(CASE WHEN (y > 0 AND m > 0) OR (y < 0 AND m <= 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY batch) AS acc FROM (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // 1000 AS batch FROM margins)) GROUP BY 1, acc")
 def minibatch_metrics(spark: SparkSession, d: str) -> DataFrame:
     found = online.batch_metrics(online.with_batch(margins(spark, d)[1], 1000))
     return found.select("batch", "n", r("objective", 3).alias("objective"), r("accuracy").alias("accuracy"))
@@ -755,7 +759,7 @@ def key_groups(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select(K.group_of(k).alias("grp"), K.format_key(k).cast("string").alias("key")).distinct()
 
 
-@query("minibatch_ids", "SELECT floor((o_orderkey - 1) / 1000)::BIGINT AS batch, count(*) AS n FROM orders GROUP BY 1")
+@query("minibatch_ids", "SELECT batch, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders) GROUP BY 1")
 def minibatch_ids(spark: SparkSession, d: str) -> DataFrame:
     return online.with_batch(rows(spark, d), 1000).groupBy("batch").agg(F.count("*").alias("n"))
 

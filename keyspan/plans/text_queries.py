@@ -10,6 +10,7 @@ from ..functions.keys import format_key
 from ..functions.numbers import to_float, to_int, to_key
 from ..sources import examples, models, records
 from .catalogue import QUERIES, SQL, query, r
+from .hash_sql import KEY, crc32c as crc32c_sql, murmur_ctes
 from .tables import ROWS_SQL, entries, entries_sql, read, rows, weight, weight_sql
 
 
@@ -114,12 +115,25 @@ def parse_criteo_ints(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, _criteo(spark, d), "CRITEO_INTEGERS").withColumn("key", format_key(F.col("key")).cast("string"))
 
 
-@query("parse_criteo_full")
+_TEXTS, _HASHED = murmur_ctes("texts", "t")
+_WORD_SQL = " UNION ALL ".join(f"SELECT row_id, {14 + i} AS slot, printf('%X', l_suppkey * {i + 1} + 65536) AS t FROM l" for i in range(26) if i % 5)  # the others are too short
+
+
+@query(
+    "parse_criteo_full",
+    f"""WITH l AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, * FROM lineitem), counts AS ({_COUNT_SQL}), words AS ({_WORD_SQL}), texts AS (SELECT DISTINCT t FROM words), {", ".join(_TEXTS)}
+SELECT row_id, 0 AS slot, 0::BIGINT AS key, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS val FROM l
+UNION ALL SELECT row_id, slot, CASE WHEN k >= 9223372036854775808 THEN (k - 18446744073709551616)::BIGINT ELSE k::BIGINT END, 1.0 FROM counts
+UNION ALL SELECT row_id, slot, {KEY}, 1.0 FROM words JOIN {_HASHED} USING (t)""",
+)
 def parse_criteo_full(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d, _criteo(spark, d), "CRITEO")
 
 
-@query("murmur_keys")
+_NAMES, _NAMED = murmur_ctes("names", "c_name")
+
+
+@query("murmur_keys", f"WITH names AS (SELECT c_custkey, c_name FROM customer), {', '.join(_NAMES)} SELECT c_custkey, {KEY} AS key, {crc32c_sql('c_name')} AS crc32c FROM {_NAMED}")
 def murmur_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", category_key("c_name").alias("key"), crc32c(F.col("c_name").cast("binary")).alias("crc32c"))
 

@@ -17,11 +17,16 @@ from pyspark.sql import types as T
 from ..functions.hashing import category_keys, rehash_key
 from ..functions.keys import group_of, hash_kernel
 from ..functions.numbers import to_float, to_int, to_key, to_label
+from ..operators.online import number_rows
 
 SLOT = "struct<id: int, keys: array<bigint>, vals: array<double>>"
 SLOTS = f"array<{SLOT}>"
 #: Slots from here on reject their row.
 MOST_SLOTS = 4096
+#: Files over which the elements of one slot are spread at most, for each task that writes.
+PARTS_A_SLOT = 32
+#: Lines of this many bytes or more don't fit the buffer of readers of these formats.
+LINE_BYTES = 60 * 1024
 
 
 def slot(id: Column | int, keys: Column | None = None, vals: Column | None = None) -> Column:
@@ -45,19 +50,27 @@ def _whole(xs: Column) -> Column:
     return F.forall(xs, lambda x: x.isNotNull())
 
 
-def libsvm(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
+def libsvm(line: Column, ignore_groups: bool = False) -> Column:
     """label k:v k:v ...; ids must not fall, the label stays as it is. Blank lines are rejected."""
-    tokens = _tokens(line, r"[ \t\r\n]+")
-    label = to_float(F.get(tokens, F.lit(0)))
-    pairs = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.split(t, ":"))
-    keys, vals = F.transform(pairs, lambda p: to_key(F.get(p, F.lit(0)))), F.transform(pairs, lambda p: to_float(F.get(p, F.lit(1))))
-    rising = _let(keys, lambda k: F.forall(F.sequence(F.lit(1), F.size(k)), lambda i: (i == 1) | (F.get(k, (i - 1).cast("int")).bitwiseXOR(F.lit(-(1 << 63))) >= F.get(k, (i - 2).cast("int")).bitwiseXOR(F.lit(-(1 << 63))))))
-    ok = (F.size(tokens) > 0) & label.isNotNull() & F.forall(pairs, lambda p: F.size(p) == 2) & _whole(keys) & _whole(vals)
-    ok = ok & F.when(F.size(pairs) > 0, rising).otherwise(F.lit(True))
-    return ok, F.array(_label(label), slot(1, keys, vals))
+    bare = lambda k: k.bitwiseXOR(F.lit(-(1 << 63)))
 
+    def told(tokens: Column) -> Column:
+        pairs = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.split(t, ":"))
+        read = F.transform(pairs, lambda p: F.when(F.size(p) == 2, F.struct(to_key(F.get(p, F.lit(0))).alias("k"), to_float(F.get(p, F.lit(1))).alias("v"))))
+        return F.struct((F.size(tokens) > 0).alias("any"), to_float(F.get(tokens, F.lit(0))).alias("label"), read.alias("pairs"))
+
+    def made(t: Column) -> Column:
+        pairs = t["pairs"]
+        rising = F.forall(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (bare(F.get(pairs, i)["k"]) >= bare(F.get(pairs, i - 1)["k"])))
+        ok = t["any"] & t["label"].isNotNull() & F.forall(pairs, lambda p: p.isNotNull() & p["k"].isNotNull() & p["v"].isNotNull())
+        ok = ok & F.when(F.size(pairs) > 0, rising).otherwise(F.lit(True))
+        return F.struct(ok.alias("ok"), F.array(_label(t["label"]), slot(1, F.transform(pairs, lambda p: p["k"]), F.transform(pairs, lambda p: p["v"]))).alias("slots"))
+
+    out = _let(_let(_tokens(line, r"[ \t\r\n]+"), told), made)
+    return out
 
-def adfea(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
+
+def adfea(line: Column, ignore_groups: bool = False) -> Column:
     """line_id 1 clicked k:g k:g ...; a slot begins wherever the group differs from the one before."""
     none = F.array().cast("array<struct<k: bigint, g: int>>")
 
@@ -73,7 +86,7 @@ def adfea(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
         return F.struct(ok.alias("ok"), F.concat(F.array(_label(to_label(t["label"]))), slots).alias("slots"))
 
     out = _let(_let(_tokens(line, "[ :]+"), told), made)
-    return out["ok"], out["slots"]
+    return out
 
 
 def _runs(pairs: Column) -> Column:
@@ -84,23 +97,26 @@ def _runs(pairs: Column) -> Column:
     return _let(starts, run)
 
 
-def terafea(line: Column, ignore_groups: bool = False, rehash: bool = False) -> tuple[Column, Column]:
+def terafea(line: Column, ignore_groups: bool = False, rehash: bool = False) -> Column:
     """clicked line_id | key key ...; the slot is the top ten bits of the key, which stays whole."""
-    tokens = _tokens(line, "[ |]+")
-    label = to_int(F.get(tokens, F.lit(0)))
-    keys = F.transform(F.slice(tokens, 3, F.greatest(F.size(tokens) - 2, F.lit(0))), to_key)
-    groups = F.array_distinct(F.transform(keys, group_of))
-    slots = F.array(slot(1, keys)) if ignore_groups else F.transform(groups, lambda g: slot(g, F.filter(keys, lambda k: group_of(k) == g)))
-    ok = (F.size(tokens) >= 2) & label.isNotNull() & _whole(keys)
-    if not ignore_groups:
-        ok = ok & F.forall(keys, lambda k: group_of(k) > 0)  # group 0 would fall into the label
-    return ok, F.concat(F.array(_label(to_label(label))), slots)
-
-
-def _native(line: Column, ignore_groups: bool, kind: str) -> tuple[Column, Column]:
-    sections = F.array_remove(F.transform(F.split(line, ";"), lambda s: F.trim(s)), "")
-    label = to_int(F.get(sections, F.lit(0)))
-    tokens = F.transform(F.slice(sections, 2, F.greatest(F.size(sections) - 1, F.lit(0))), lambda s: _tokens(s, "[ :]+"))
+    def told(tokens: Column) -> Column:
+        keys = F.transform(F.slice(tokens, 3, F.greatest(F.size(tokens) - 2, F.lit(0))), to_key)
+        return F.struct((F.size(tokens) >= 2).alias("any"), to_int(F.get(tokens, F.lit(0))).alias("label"), keys.alias("keys"))
+
+    def made(t: Column) -> Column:
+        keys = t["keys"]
+        groups = F.array_distinct(F.transform(keys, group_of))
+        slots = F.array(slot(1, keys)) if ignore_groups else F.transform(groups, lambda g: slot(g, F.filter(keys, lambda k: group_of(k) == g)))
+        ok = t["any"] & t["label"].isNotNull() & _whole(keys)
+        if not ignore_groups:
+            ok = ok & F.forall(keys, lambda k: group_of(k) > 0)  # group 0 would fall into the label
+        return F.struct(ok.alias("ok"), F.concat(F.array(_label(to_label(t["label"]))), slots).alias("slots"))
+
+    out = _let(_let(_tokens(line, "[ |]+"), told), made)
+    return out
+
+
+def _native(line: Column, ignore_groups: bool, kind: str) -> Column:
     rest = lambda t: F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
     each = lambda t, odd: F.filter(rest(t), lambda _, i: (i % 2 == 1) if odd else (i % 2 == 0))
     none = F.array().cast("array<string>")
@@ -109,27 +125,37 @@ def _native(line: Column, ignore_groups: bool, kind: str) -> tuple[Column, Colum
         "sparse": (lambda t: each(t, False), lambda t: each(t, True)),
         "binary": (rest, lambda t: none),
     }[kind]
-    made = F.transform(tokens, lambda t: F.struct(to_int(F.get(t, F.lit(0))).alias("id"), F.transform(keys(t), to_key).alias("keys"), F.transform(vals(t), to_float).alias("vals")))
+    group = lambda t: F.struct(to_int(F.get(t, F.lit(0))).alias("id"), F.transform(keys(t), to_key).alias("keys"), F.transform(vals(t), to_float).alias("vals"))
     good = lambda s: s["id"].isNotNull() & (s["id"] > 0) & _whole(s["keys"]) & _whole(s["vals"]) & ((F.size(s["keys"]) == F.size(s["vals"])) if kind == "sparse" else F.lit(True))
-    if ignore_groups:
-        slots = F.array(slot(1, F.flatten(F.transform(made, lambda s: s["keys"])), F.flatten(F.transform(made, lambda s: s["vals"]))))
-    else:
-        slots = F.transform(made, lambda s: slot(s["id"], s["keys"], s["vals"]))
-    ok = (F.size(sections) > 0) & label.isNotNull() & F.forall(made, good)
-    return ok, F.concat(F.array(_label(to_label(label))), slots)
+
+    def told(sections: Column) -> Column:
+        groups = F.transform(rest(sections), lambda s: _let(_tokens(s, "[ :]+"), group))
+        return F.struct((F.size(sections) > 0).alias("any"), to_int(F.get(sections, F.lit(0))).alias("label"), groups.alias("groups"))
+
+    def made(t: Column) -> Column:
+        groups = t["groups"]
+        if ignore_groups:
+            slots = F.array(slot(1, F.flatten(F.transform(groups, lambda s: s["keys"])), F.flatten(F.transform(groups, lambda s: s["vals"]))))
+        else:
+            slots = F.transform(groups, lambda s: slot(s["id"], s["keys"], s["vals"]))
+        ok = t["any"] & t["label"].isNotNull() & F.forall(groups, good)
+        return F.struct(ok.alias("ok"), F.concat(F.array(_label(to_label(t["label"]))), slots).alias("slots"))
+
+    out = _let(_let(F.array_remove(F.transform(F.split(line, ";"), lambda s: F.trim(s)), ""), told), made)
+    return out
 
 
-def dense(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
+def dense(line: Column, ignore_groups: bool = False) -> Column:
     """label; group v v v; ..."""
     return _native(line, ignore_groups, "dense")
 
 
-def sparse(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
+def sparse(line: Column, ignore_groups: bool = False) -> Column:
     """label; group k:w k:w; ... (or k w)"""
     return _native(line, ignore_groups, "sparse")
 
 
-def sparse_binary(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
+def sparse_binary(line: Column, ignore_groups: bool = False) -> Column:
     """label; group k k k; ..."""
     return _native(line, ignore_groups, "binary")
 
@@ -138,23 +164,29 @@ def sparse_binary(line: Column, ignore_groups: bool = False) -> tuple[Column, Co
 INTEGERS, CATEGORIES = 13, 26
 
 
-def criteo_integers(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
+def criteo_integers(line: Column, ignore_groups: bool = False) -> Column:
     """The label and integer columns: column i with count c has key (2**64-1) / 13 * i + c, wrapping. Empty counts are 0."""
-    fields = F.split(line, "\t")
-    label = to_float(F.get(fields, F.lit(0)))
-    step = ((1 << 64) - 1) // INTEGERS
-    slots = []
-    for i in range(INTEGERS):
-        count = to_int(F.get(fields, F.lit(i + 1))).cast("bigint")
-        # The sum wraps at 2**64: it is taken in decimals and brought back.
-        wide = F.lit(str(step * i)).cast("decimal(38,0)") + count.cast("decimal(38,0)")
-        wrapped = F.pmod(wide, F.lit(str(1 << 64)).cast("decimal(38,0)"))
-        key = F.when(wrapped >= F.lit(str(1 << 63)).cast("decimal(38,0)"), wrapped - F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(wrapped).cast("bigint")
-        slots.append(F.when(count.isNotNull(), slot(i + 1, F.array(key))))
-    every = F.filter(F.array(*slots), lambda s: s.isNotNull())
-    if ignore_groups:
-        every = F.array(slot(1, F.flatten(F.transform(every, lambda s: s["keys"]))))
-    return (F.size(fields) >= INTEGERS + CATEGORIES) & label.isNotNull(), F.concat(F.array(_label(to_label(label))), every)
+    # Where each column begins, as a bigint of the same bits. None lies within 2**32 of the end of the range, so that adding a
+    # count of 32 bits wraps at 2**64 without overflow.
+    begins = F.array(*[F.lit(_signed(((1 << 64) - 1) // INTEGERS * i)) for i in range(INTEGERS)])
+
+    def told(fields: Column) -> Column:
+        counts = F.transform(F.slice(fields, 2, INTEGERS), to_int)
+        return F.struct((F.size(fields) >= INTEGERS + CATEGORIES).alias("any"), to_float(F.get(fields, F.lit(0))).alias("label"), counts.alias("counts"))
+
+    def made(t: Column) -> Column:
+        slots = F.transform(t["counts"], lambda c, i: F.when(c.isNotNull(), slot(i + 1, F.array(F.get(begins, i) + c.cast("bigint")))))
+        every = F.filter(slots, lambda s: s.isNotNull())
+        if ignore_groups:
+            every = F.array(slot(1, F.flatten(F.transform(every, lambda s: s["keys"]))))
+        return F.struct((t["any"] & t["label"].isNotNull()).alias("ok"), F.concat(F.array(_label(to_label(t["label"]))), every).alias("slots"))
+
+    out = _let(_let(F.split(line, "\t"), told), made)
+    return out
+
+
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
@@ -164,16 +196,19 @@ def _category_keys(fields: pd.Series) -> pd.Series:
     return pd.Series([[[] if t is None else [next(keys)] for t in row] for row in long])
 
 
-def criteo(line: Column, ignore_groups: bool = False) -> tuple[Column, Column]:
+def criteo(line: Column, ignore_groups: bool = False) -> Column:
     """Integers as above; a categorical of more than four bytes has its hash as key, shorter ones are dropped."""
-    ok, integers = criteo_integers(line, ignore_groups)
-    fields = F.slice(F.split(line, "\t"), INTEGERS + 2, CATEGORIES)
-    keys = _category_keys(fields)
-    if ignore_groups:
-        both = F.concat(F.get(integers, F.lit(1))["keys"], F.flatten(keys))
-        return ok, F.concat(F.slice(integers, 1, 1), F.array(slot(1, both)))
-    own = F.filter(F.transform(keys, lambda k, i: slot(i + INTEGERS + 1, k)), lambda s: F.size(s["keys"]) > 0)
-    return ok, F.concat(integers, own)
+    keys = _category_keys(F.slice(F.split(line, "\t"), INTEGERS + 2, CATEGORIES))
+
+    def made(t: Column) -> Column:
+        integers, keys = t["integers"]["slots"], t["keys"]
+        if ignore_groups:
+            slots = F.concat(F.slice(integers, 1, 1), F.array(slot(1, F.concat(F.get(integers, F.lit(1))["keys"], F.flatten(keys)))))
+        else:
+            slots = F.concat(integers, F.filter(F.transform(keys, lambda k, i: slot(i + INTEGERS + 1, k)), lambda s: F.size(s["keys"]) > 0))
+        return F.struct(t["integers"]["ok"].alias("ok"), slots.alias("slots"))
+
+    return _let(F.struct(criteo_integers(line, ignore_groups).alias("integers"), keys.alias("keys")), made)
 
 
 FORMATS = {"LIBSVM": libsvm, "ADFEA": adfea, "TERAFEA": terafea, "DENSE": dense, "SPARSE": sparse, "SPARSE_BINARY": sparse_binary, "CRITEO": criteo, "CRITEO_INTEGERS": criteo_integers}
@@ -182,12 +217,11 @@ FORMATS = {"LIBSVM": libsvm, "ADFEA": adfea, "TERAFEA": terafea, "DENSE": dense,
 def parse_lines(lines: DataFrame, fmt: str, ignore_groups: bool = False, rehash: bool = False) -> DataFrame:
     """row_id, ok and slots from lines (row_id, value). A trailing carriage return is dropped; rows with a slot of 4096 or
     more are rejected; a null line is rejected."""
-    line = F.regexp_replace("value", r"\r$", "")
-    ok, slots = FORMATS[fmt](line, ignore_groups)
-    # A struct, so that the parts below don't each parse the line again.
-    parsed = lines.select("row_id", F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), slots.alias("slots")).alias("p")).select("row_id", "p.ok", "p.slots")
-    ok = F.col("ok") & F.coalesce(F.forall("slots", lambda s: s["id"] < MOST_SLOTS), F.lit(False))
-    out = parsed.select("row_id", ok.alias("ok"), F.when(ok, F.col("slots")).alias("slots"))
+    few = lambda p: F.coalesce(F.forall(p["slots"], lambda s: s["id"] < MOST_SLOTS), F.lit(False))
+    told = lambda p: F.struct((F.coalesce(p["ok"], F.lit(False)) & few(p)).alias("ok"), p["slots"].alias("slots"))
+    # Each step's result is bound before it is used, and filters stay behind inline(), so that no part parses the line again.
+    parsed = _let(FORMATS[fmt](F.regexp_replace("value", r"\r$", ""), ignore_groups), told)
+    out = lines.select("row_id", F.inline(F.array(parsed))).select("row_id", "ok", F.when(F.col("ok"), F.col("slots")).alias("slots"))
     if rehash:
         flat = entries(out.where("ok")).where("slot > 0").withColumn("key", rehash_key("key"))
         back = flat.groupBy("row_id", "at", "slot").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "val"))).alias("e"))
@@ -197,16 +231,15 @@ def parse_lines(lines: DataFrame, fmt: str, ignore_groups: bool = False, rehash:
     return out
 
 
-def read_examples(spark: SparkSession, paths: list[str] | str, fmt: str, ignore_groups: bool = False, kernel: int = 0, max_lines: int = 0) -> DataFrame:
-    """Examples of text files (plain or .gz, of any file system Spark reads) as (row_id, slots). Lines that do not parse are
-    left out. row_id is file and offset order within this read. kernel > 0 takes keys modulo it; max_lines keeps the first
-    lines of each file."""
+def read_examples(spark: SparkSession, paths: list[str] | str, fmt: str, ignore_groups: bool = False, kernel: int = 0, max_lines: int = 0, line_bytes: int = LINE_BYTES) -> DataFrame:
+    """Examples of text files (plain or .gz, of any file system Spark reads) as (row_id, slots). Lines that do not parse, and
+    those of line_bytes or more (0: no limit), are left out. row_id is file and offset order within this read. kernel > 0
+    takes keys modulo it; max_lines keeps the first lines of each file."""
     lines = spark.read.text(paths).select(F.monotonically_increasing_id().alias("row_id"), "value", F.input_file_name().alias("file"))
     if max_lines:
-        from pyspark.sql import Window
-
-        n = F.row_number().over(Window.partitionBy("file").orderBy("row_id"))
-        lines = lines.withColumn("n", n).where(F.col("n") <= max_lines)
+        lines = number_rows(lines, "row_id", ("file",)).where(F.col("n") <= max_lines)
+    if line_bytes:
+        lines = lines.where(F.octet_length("value") < line_bytes)
     parsed = parse_lines(lines.select("row_id", "value"), fmt, ignore_groups).where("ok").select("row_id", "slots")
     if kernel:
         hashed = F.transform("slots", lambda s: F.struct(s["id"].alias("id"), F.transform(s["keys"], lambda k: hash_kernel(k, kernel)).alias("keys"), s["vals"].alias("vals")))
@@ -214,13 +247,13 @@ def read_examples(spark: SparkSession, paths: list[str] | str, fmt: str, ignore_
     return parsed
 
 
-def entries(examples: DataFrame) -> DataFrame:
-    """(row_id, at, slot, pos, key, val): one row for each key or value; at is the slot's place in its row. val is 1 where the
+def entries(examples: DataFrame, *also: str) -> DataFrame:
+    """(row_id, at, slot, pos, key, val) and the columns `also`: one row for each key or value; at is the slot's place in its row. val is 1 where the
     slot is binary, key is the position where it is dense."""
-    slots = examples.select("row_id", F.posexplode("slots").alias("at", "s"))
+    slots = examples.select("row_id", *also, F.posexplode("slots").alias("at", "s"))
     n = F.greatest(F.size("s.keys"), F.size("s.vals"))
     each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("pos"), F.coalesce(F.get("s.keys", i), i.cast("bigint")).alias("key"), F.when(F.size("s.vals") > 0, F.get("s.vals", i)).otherwise(F.lit(1.0)).alias("val")))
-    return slots.where(n > 0).select("row_id", "at", F.col("s.id").alias("slot"), F.inline(each))
+    return slots.where(n > 0).select("row_id", *also, "at", F.col("s.id").alias("slot"), F.inline(each))
 
 
 def labels(examples: DataFrame) -> DataFrame:
@@ -238,3 +271,15 @@ def native_lines(examples: DataFrame) -> DataFrame:
     return examples.select("row_id", F.concat(F.array_join(F.transform("slots", line), "; "), F.lit(";")).alias("value"))
 
 
+
+
+def write_slots(examples: DataFrame, path: str) -> None:
+    """A columnar copy of all elements, in a folder for each slot, the label in slot 0: parsed once, and read slot by slot."""
+    own = entries(examples)
+    own.repartition("slot", F.pmod(F.xxhash64("row_id"), F.lit(PARTS_A_SLOT))).write.mode("overwrite").partitionBy("slot").parquet(path)
+
+
+def read_slots(spark: SparkSession, path: str, *slots: int) -> DataFrame:
+    """(row_id, at, slot, pos, key, val) of the named slots, all if none is named; other slots' files are not opened."""
+    held = spark.read.parquet(path).select("row_id", "at", "slot", "pos", "key", "val")
+    return held.where(F.col("slot").isin(*slots)) if slots else held

@@ -26,7 +26,8 @@ def version(path: str, n: int) -> str:
 def learn(spark: SparkSession, source: str, fmt: str, rule: Rule, model_path: str, checkpoint: str, loss: str = "LOGIT", files_per_batch: int = 1, on_batch: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
     """Trains on the text files of a folder as they come; started with everything there as available now.
 
-    Version n + 1 of the model is what batch n makes of version n; version 0 is empty.
+    Version n + 1 of the model is what batch n makes of version n; version 0 is empty. Files come by the time of their last
+    change; of files with the same time the order is not defined, so writers that need one have to give distinct times.
     """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(source)
 

@@ -3,10 +3,11 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from keyspan.plans import catalogue, text_queries  # noqa: F401
+from keyspan.plans import catalogue, solver_queries, text_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,7 +22,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return None
     return v.item() if hasattr(v, "item") else v
 

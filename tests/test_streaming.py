@@ -1,6 +1,7 @@
 """The streaming solver makes what the batch solver makes, and jobs run end to end."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ def folder(tmp_path):
     (tmp_path / "in").mkdir()
     for i, lines in enumerate(LINES):
         (tmp_path / "in" / f"{i}.txt").write_text("\n".join(lines) + "\n")
+        os.utime(tmp_path / "in" / f"{i}.txt", (1_000_000 + i, 1_000_000 + i))  # files of one time come in no fixed order
     return tmp_path
 
 
