@@ -170,3 +170,44 @@ def test_block_order_and_waits():
 def test_progress(spark):
     before, after = (spark.createDataFrame(x, "key long, w double") for x in ([(1, 1.0), (2, 0.5)], [(1, 0.0), (2, 1.0), (3, 2.0)]))
     assert tuple(online.weight_change(before, after).first()) == (0, 5.0, 5.25)
+
+
+def test_dictionary_and_auc_with_clustered_and_far_values(spark):
+    ks = [k for base in (0, 1 << 40, (1 << 62) + 5) for k in range(base, base + 300)] + [-1, -(1 << 63)]
+    found = {r["key"]: r["rank"] for r in localize.dictionary(spark.createDataFrame([(k,) for k in ks * 2], "key long"), 16).collect()}
+    assert found == {k: i for i, k in enumerate(sorted(ks, key=lambda k: k % (1 << 64)))}
+    rng = random.Random(2)
+    rows = [(rng.choice([1.0, -1.0]), rng.randint(0, 400) / 1e6) for _ in range(500)] + [(1.0, 1e9)]
+    pairs = [(a > b) + 0.5 * (a == b) for y, a in rows if y > 0 for t, b in rows if t < 0]
+    assert evaluate.auc(spark.createDataFrame(rows, "label double, score double"), reflect=False).first()[0] == pytest.approx(sum(pairs) / len(pairs))
+
+
+def test_number_rows_over_gaps(spark):
+    ids = [3, 7, 8, (1 << 20) - 1, 1 << 20, (1 << 33) + 2, (5 << 33) + 1]
+    df = spark.createDataFrame([(i, g) for i in ids for g in "ab"], "row_id long, g string").repartition(3)
+    assert {(r["row_id"], r["g"]): r["n"] for r in online.number_rows(df, by=("g",)).collect()} == {(i, g): k for k, i in enumerate(ids, 1) for g in "ab"}
+    assert sorted((r["row_id"], r["batch"]) for r in online.with_batch(df.where("g = 'a'"), 3).collect()) == [(i, k // 3) for k, i in enumerate(ids)]
+
+
+def test_fold_in_rounds_equals_one_fold(spark):
+    rule = objective.AdaGrad(objective.LearningRate(0.1, 1.0), objective.ElasticNet(0.05, 0.1))
+    pushes = spark.createDataFrame([(0 if i % 4 else 1, i, math.sin(i)) for i in range(80)], "key long, at long, g double")
+    held = store.MapStore(rule.start(), rule.step, objective.ADAGRAD_STATE)
+    one, rounds = ({r["key"]: r["state"].asDict() for r in d.collect()} for d in (held.fold(pushes, "g", ["at"]), held.fold_all(pushes, "g", ["at"], most=7)))
+    assert one == rounds
+
+
+def test_quantise_within_own_limits(spark):
+    q = transfer.FixedPoint.of(spark.createDataFrame([(2.0,), (-1.0,), (None,)], "x double"), "x", 2)
+    assert (q.low, q.high) == (-1.0, 2.0)
+    one = transfer.FixedPoint.of(spark.createDataFrame([(5.0,)], "x double"), "x")
+    assert (one.low, one.high) == (5.0, 6.0) and transfer.FixedPoint.of(spark.createDataFrame([], "x double"), "x").high == 1.0
+
+
+def test_long_keys_do_not_pad_others():
+    keys = [b"a", b"x" * 3_000_000, b"bc"] * 2
+    h1, h2 = hashing.murmur3_x64_128(keys, 1)
+    for i, k in enumerate(keys):
+        one = hashing.murmur3_x64_128([k], 1)
+        assert (h1[i], h2[i]) == (one[0][0], one[1][0])
+    assert len(hashing._by_length(keys)) > 1

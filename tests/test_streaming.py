@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +49,33 @@ def test_jobs(spark, folder):
     assert run(spark, Job.from_json(json.dumps(common | {"batch": {"passes": 2}}))).count() > 0
     with pytest.raises(ValueError):
         Job.from_json('{"nothing": 1}')
+
+
+def test_jobs_read_their_input_once(spark, folder, tmp_path):
+    """Once the first pass or minibatch is reported, the source goes away, and the job goes on."""
+    for k, options in enumerate(({"batch": {"passes": 3, "save_every": 2, "epsilon": 1e-12}}, {"online": {"minibatch": 2, "passes": 2, "tail": 1, "countmin_n": 1000}})):
+        source = tmp_path / f"copy{k}"
+        shutil.copytree(folder / "in", source)
+        told = []
+
+        def report(x, source=source, told=told):
+            told.append(x)
+            shutil.rmtree(source, ignore_errors=True)
+
+        common = {"training_data": {"file": [str(source)]}, "penalty": {"type": "L1", "weights": [0.01]}, "model_output": str(tmp_path / f"m{k}"), "work": str(tmp_path / f"w{k}")}
+        model = run(spark, Job.from_json(json.dumps(common | options)), report)
+        assert model.count() > 0 and not source.exists()
+        assert len(told) == (3 if k == 0 else 6)
+    assert (tmp_path / "m0_it_2").exists() and not (tmp_path / "m0_it_1").exists()
+
+
+def test_a_step_reads_its_own_block(spark, folder, tmp_path):
+    from keyspan.functions.keys import KeyRange
+    from keyspan.operators import descent
+
+    e = spark.createDataFrame([(i, 1 + i % 2, i % 6, 1.0) for i in range(60)], "row_id long, slot int, key long, val double")
+    held = descent.stored_blocks(e, [(1, KeyRange(0, 6)), (2, KeyRange(0, 3)), (2, KeyRange(3, 6))], str(tmp_path / "blocks"))
+    part = held.where(F.col("block") == 1)
+    assert part.count() == sum(i % 2 == 1 and i % 6 < 3 for i in range(60))
+    assert all("block=1" in r[0] for r in part.select(F.input_file_name()).distinct().collect())
+    assert held.where(F.col("block") == descent.NO_BLOCK).count() == 0 and held.count() == 60
