@@ -27,16 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import pick, slim_batches
+from .common import pick, slices, slim_batches
 
 #: Texts of more characters are encoded in pieces of this size, on several executors.
 PIECE = 50_000
 #: An unsplit run (a pre-token) of more characters than this is cut into leaves of this size.
 LEAF = 1_024
-#: A worker that remembers more words than this forgets all but those of the texts at hand.
+#: Words that a worker remembers because it met them again, and twice as many as it remembers of those met once.
 REMEMBER = 300_000
-#: Bytes of text that a task handles at a time.
-BYTES = 8_000_000
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: How a file of the kind `word_bpe` normalises and splits. There, a word of these letters alone becomes itself in
@@ -82,26 +80,29 @@ class Codec:
     def encode(self, words: list[str], leaf: int = LEAF) -> list[bytes]:
         """Of each word, as a text of its own; words of over `leaf` characters by their leaves. Ids as bytes."""
         found: list[bytes] = [b""] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) <= leaf]
-        letters = [k for k in short if _LOWER.fullmatch(words[k])] if self.plain else []
-        rest = sorted(set(short).difference(letters)) if letters else short
-        for at, coder, spell in ((letters, self._end, self._bytes), (rest, self.whole, None)):
-            for lo in range(0, len(at), 10_000):
-                some = at[lo : lo + 10_000]
-                ids = [e.ids for e in coder.encode_batch_fast([spell(words[k]) if spell else words[k] for k in some], add_special_tokens=False)]
-                raw, end = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
-                for k, x in zip(some, ids, strict=True):
-                    start, end = end, end + 4 * len(x)
-                    found[k] = raw[start:end]
+        letters, rest = [], []
+        plain, match = self.plain, _LOWER.fullmatch
         for k, w in enumerate(words):
             if len(w) > leaf:
                 found[k] = np.asarray(self.one(w, leaf), "<u4").tobytes()
+            elif plain and match(w):
+                letters.append(k)
+            else:
+                rest.append(k)
+        for at, direct in ((letters, True), (rest, False)):
+            for lo in range(0, len(at), 10_000):
+                some = at[lo : lo + 10_000]
+                texts = [words[k] for k in some]
+                if direct:
+                    texts = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in texts]
+                ids = [e.ids for e in (self._end if direct else self.whole).encode_batch_fast(texts, add_special_tokens=False)]
+                ends = np.cumsum([len(x) for x in ids]) * 4
+                raw, start = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1]) // 4).tobytes(), 0
+                for k, end in zip(some, ends.tolist(), strict=True):
+                    found[k] = raw[start:end]
+                    start = end
         return found
 
-    @staticmethod
-    def _bytes(word: str) -> str:
-        return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-
     def one(self, text: str, leaf: int) -> list[int]:
         """Of a text that may have long runs, all in this process."""
         parts = self.long_runs(text, leaf) if len(text) > leaf else None
@@ -199,31 +200,43 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _strings(words: pa.StringArray) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist()
+
+
 class Words:
-    """The ids of words, as bytes; those met lately are remembered."""
+    """The ids of words, as bytes; those met again are remembered for long, those met once for a while."""
 
     def __init__(self, own: Codec, leaf: int) -> None:
-        self._own, self._leaf, self._known = own, leaf, {}
+        self._own, self._leaf, self._again, self._once = own, leaf, {}, {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Of distinct words."""
-        known = self._known
-        found = list(map(known.get, words))
-        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        if missing:
-            known.update(zip(missing, self._own.encode(missing, self._leaf), strict=True))
-            found = list(map(known.__getitem__, words))
-        if len(known) > REMEMBER:
-            self._known = dict(zip(words, found, strict=True))
+        again, once, missing = self._again, self._once, []
+        found = list(map(again.get, words))
+        for k, ids in enumerate(found):
+            if ids is None:
+                w = words[k]
+                ids = once.pop(w, None)
+                if ids is None:
+                    missing.append(k)
+                else:
+                    found[k] = again[w] = ids
+        for k, ids in zip(missing, self._own.encode([words[k] for k in missing], self._leaf), strict=True):
+            found[k] = once[words[k]] = ids
+        if len(once) > REMEMBER // 2:
+            self._once = {}
+        if len(again) > REMEMBER:
+            self._again = {}
         return found
 
     def __call__(self, words: pa.StringArray) -> pa.BinaryArray:
         """Of distinct words. One of letters is looked up in lower case, and without a full stop or comma behind it."""
         if not self._own.plain:
-            return pa.array(self._ids(words.to_pylist()), pa.binary())
+            return pa.array(self._ids(_strings(words)), pa.binary())
         plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+[.,]?$")
         base = pc.if_else(plain, pc.utf8_rtrim(pc.utf8_lower(words), characters=".,"), words).dictionary_encode()
-        ids = pa.array(self._ids(base.dictionary.to_pylist()), pa.binary()).take(base.indices)
+        ids = pa.array(self._ids(_strings(base.dictionary)), pa.binary()).take(base.indices)
         stop, comma = self._own.encode([".", ","])
         behind = pc.case_when(pc.make_struct(pc.and_(plain, pc.ends_with(words, ".")), pc.and_(plain, pc.ends_with(words, ","))), pa.scalar(stop, pa.binary()), pa.scalar(comma, pa.binary()), pa.scalar(b"", pa.binary()))
         return pc.binary_join_element_wise(ids, behind, pa.scalar(b"", pa.binary()))
@@ -234,16 +247,6 @@ def _remembered(path: str, leaf: int) -> Words:
     return Words(codec(path), leaf)
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most about BYTES of text, at least a row each."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(batch):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _coded(texts: pa.StringArray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and where each text begins and the last ends. No text is split but at ASCII white space."""
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.fill_null("")))
@@ -283,7 +286,7 @@ def _with_ids(path: str, leaf: int, width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _remembered(path, leaf)
         for batch in batches:
-            for part in _slices(batch, "text"):
+            for part in slices(batch, "text"):
                 kept = [n for n in part.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], _cells(*_coded(part.column("text"), words), width)], names=[*kept, "ids"])
 
@@ -296,7 +299,7 @@ def _with_digests(path: str, leaf: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, words = codec(path), _remembered(path, leaf)
         for batch in batches:
-            for part in _slices(batch, "text"):
+            for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_told(*_coded(part.column("text"), words), own)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -346,10 +349,14 @@ def _parts(path: str, leaf: int) -> Callable:
     """Encodes parts of texts; those of kind text keep their text, which the joins look at."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
+        own, words = codec(path), _remembered(path, leaf)
         for frame in frames:
-            ids = [own.one(t, leaf) if k == "text" else own.bare(t, k == "last") for t, k in zip(frame["text"], frame["kind"], strict=True)]
-            yield frame.assign(ids=[np.asarray(x, "<u4").tobytes() for x in ids], text=frame["text"].where(frame["kind"] == "text"))
+            for lo in range(0, len(frame), 50):
+                some = frame.iloc[lo : lo + 50]
+                plain = some["kind"] == "text"
+                coded, at = _coded(pa.array(some["text"].where(plain), pa.string()), words)
+                leaves = [None if p else np.asarray(own.bare(t, k == "last"), "<u4").tobytes() for p, t, k in zip(plain, some["text"], some["kind"], strict=True)]
+                yield some.assign(ids=[coded[a:b].tobytes() if x is None else x for x, a, b in zip(leaves, at[:-1].tolist(), at[1:].tolist(), strict=True)], text=some["text"].where(plain))
 
     return run
 
@@ -409,7 +416,7 @@ def digests(docs: DataFrame, path: str, piece: int = PIECE, leaf: int = LEAF) ->
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for part in _slices(batch, "ids"):
+            for part in slices(batch, "ids"):
                 raw = part.column("ids").to_pylist()
                 at = np.cumsum([0, *[len(x) // 4 for x in raw]])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_told(np.frombuffer(b"".join(raw), "<u4"), at, own)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -1,7 +1,8 @@
 """HTML extraction with host suffix arrays.
 
 Pages are cut into blocks of text. The suffixes of the token streams of a host's pages are grouped by their first tokens, by
-a hash and over the whole table; long runs that recur on distinct texts are boilerplate. A block that the page itself marks as its article keeps all its
+a hash and over the whole table; long runs that recur on distinct texts are boilerplate. A sketch of all runs goes first: only
+runs that it counts often enough are sent and grouped. A block that the page itself marks as its article keeps all its
 words; one that it marks as menu, advert and so on keeps none; what it marks as neither keeps its unique runs.
 """
 
@@ -9,22 +10,28 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, is_small, pick
-from .hashing import BASES, Rolling, word_codes
+from .common import cut, is_small, pick, slices, slim_batches
+from .hashing import BASES, Rolling, mix, word_codes
+from .sketch import bitmaps, bits_for, has, parts_of
 from .urls import host_of
 
 #: Tokens in a row that have to recur, and distinct texts of a host's pages in which they have to.
 RUN, PAGES = 8, 3
 #: Up to so many recurring runs are broadcast (8 bytes each); more meet their pages by shuffle.
 BROADCAST_RUNS = 4_000_000
+#: Bits of a slot's number in the sketch of runs: about a slot for each one or two characters of HTML, within these bounds. One bitmap of it is broadcast: 128 MB at most. A full sketch only lets more runs through.
+LEAST_BITS, MOST_BITS = 16, 30
 #: Tasks over which the occurrences of one run are spread where they meet its verdict.
 SALTS = 16
 
@@ -40,8 +47,10 @@ _CHROME_WORDS = re.compile(
 )
 _COMMENT_WORDS = re.compile(r"(?i)(?<![a-z])(?:comments?|comment-list|respond|replies|disqus|discussion)(?![a-z])")
 _MAIN_WORDS = re.compile(r"(?i)(?<![a-z])(?:main|article-body|post-content|entry-content|article-content)(?![a-z])")
+#: No part of it reads on from each place of a broken page to the page's end: what may fail stops at the next "<".
+_ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    rf"""<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-z][^\s/<>]*)({_ATTRIBUTES})>""",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -68,6 +77,7 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
     """(zone, text) of each block in page order, white space joined, without empty ones."""
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, str]] = []
+    open_tags, open_marks = Counter(), Counter()
     text: list[str] = []
     zone = OTHER
 
@@ -78,6 +88,15 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
                 found.append((zone, " ".join(words)))
             text.clear()
 
+    def close() -> str:
+        tag, mark = stack.pop()
+        open_tags[tag] -= 1
+        open_marks[mark] -= 1
+        return tag
+
+    def around() -> int:
+        return CHROME if open_marks["chrome"] or open_marks["comments"] else ARTICLE if open_marks["main"] else OTHER
+
     at = 0
     html = html or ""
     for m in _TOKEN.finditer(html):
@@ -96,22 +115,25 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             continue
         flush()
         if tag not in _CONTAINERS:
+            if not m[3] and m[5] and zone != CHROME and _mark(tag, m[5]) in ("chrome", "comments"):
+                zone = CHROME  # of this block only
+            elif tag not in ("br", "hr"):
+                zone = around()
             continue
         if m[3]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            while open_tags[tag] and close() != tag:
+                pass
         elif not m[5].endswith("/"):
             mark = _mark(tag, m[5])
-            if tag == "header" and any(x == "main" for _, x in stack) and not any(x in ("chrome", "comments") for _, x in stack):
+            if tag == "header" and open_marks["main"] and not open_marks["chrome"] and not open_marks["comments"]:
                 mark = ""  # the article's own heading
             if tag in ("article", "main") and mark == "main":  # an article ends what was left open before it
                 while stack and stack[-1][1] == "chrome":
-                    stack.pop()
+                    close()
             stack.append((tag, mark))
-        marks = {x for _, x in stack}
-        zone = CHROME if marks & {"chrome", "comments"} else ARTICLE if "main" in marks else OTHER
+            open_tags[tag] += 1
+            open_marks[mark] += 1
+        zone = around()
     text.append(html[at:])
     flush()
     return found
@@ -168,15 +190,6 @@ def main_text(found: list[tuple[int, str]], covered: np.ndarray) -> str:
     return "\n".join(kept)
 
 
-def run_keys(host: str | None, words: list[str], run: int) -> np.ndarray:
-    """A 64-bit hash of the host and the `run` tokens from each place on."""
-    code = word_codes([w.encode("utf-8", "surrogatepass") for w in words])
-    if len(code) < run:
-        return np.zeros(0, np.int64)
-    own = np.uint64(int.from_bytes(hashlib.blake2b((host or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
-    return ((Rolling(BASES[0])(code, run) ^ own) * BASES[1]).view(np.int64)
-
-
 def _covered(hit: np.ndarray, n: int, run: int) -> np.ndarray:
     """Which of n tokens lie in a run that starts at a hit."""
     steps = np.zeros(n + 1, np.int64)
@@ -195,28 +208,62 @@ def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[at] == keys
 
 
-def _parsed(host: str | None, html: str | None, run: int) -> tuple[list[tuple[int, str]], list[str], np.ndarray]:
-    found = blocks(html)
-    words = [w for _, t in found for w in t.split(" ")]
-    return found, words, run_keys(host, words, run)
+class _Parser:
+    """The blocks of pages, and hashes of the runs of their tokens, for many pages at once."""
+
+    def __init__(self, run: int) -> None:
+        self._run, self._roll = run, Rolling(BASES[0])
+
+    def __call__(self, pages: list[dict]) -> list[tuple[list[tuple[int, str]], str, int, np.ndarray]]:
+        """Of each page (host, html): blocks, all text, number of tokens, and a 64-bit hash of its host and the tokens of the run that begins at each place."""
+        found = [blocks(r["html"]) for r in pages]
+        texts = [" ".join([t for _, t in f]) for f in found]
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        starts, flat = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        code = word_codes(flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False))[flat.indices.to_numpy()]
+        runs, out = self._roll(code, self._run), []
+        for k, (r, f) in enumerate(zip(pages, found, strict=True)):
+            n = int(starts[k + 1] - starts[k]) if f else 0
+            own = np.uint64(xxhash.xxh3_64_intdigest((r["host"] or "").encode("utf-8", "surrogatepass")))
+            at = int(starts[k])
+            out.append((f, texts[k], n, ((runs[at : at + max(0, n - self._run + 1)] ^ own) * BASES[1]).view(np.int64)))
+        return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    for batch in batches:
+        for part in slices(batch, "html", 500_000):
+            yield part.to_pylist()
 
 
-def _runs(run: int, wanted: Callable[[], np.ndarray] | None = None) -> Callable:
-    """A row for each page that has runs: page, text (a hash of its tokens) and its distinct runs, of the wanted ones if given."""
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _slots_of(run: int, bits: int) -> Callable:
+    """All runs of a batch; those that one page repeats count again, which only lets more through."""
+
+    def slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        parse = _Parser(run)
+        for part in _groups([batch]):
+            yield _slots(np.concatenate([keys for *_, keys in parse(part)]), bits)
+
+    return slots
+
+
+def _runs(run: int, often: Callable[[], bytes], bits: int) -> Callable:
+    """A row for each page that has runs: page, text (a hash of its tokens) and its distinct runs, of those that the sketch counts often."""
     schema = pa.schema([("page", pa.binary()), ("text", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = wanted() if wanted else None
-        for batch in batches:
-            for at in range(0, len(batch), 100):
-                part, out = batch.slice(at, 100).to_pylist(), []
-                for r in part:
-                    _, words, keys = _parsed(r["host"], r["html"], run)
-                    keys = np.unique(keys if only is None else keys[_among(keys, only)])
-                    if len(keys):
-                        text = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                        out.append((r["page"], int.from_bytes(text, "little", signed=True), keys))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], schema.field(k).type) for k in range(3)], schema=schema)
+        bitmap, parse = np.frombuffer(often(), np.uint8), _Parser(run)
+        for part in _groups(batches):
+            out = []
+            for r, (_, text, _, keys) in zip(part, parse(part), strict=True):
+                keys = np.unique(keys[has(bitmap, _slots(keys, bits)) == 1])
+                if len(keys):
+                    out.append((r["page"], int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True), keys))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], schema.field(k).type) for k in range(3)], schema=schema)
 
     return work
 
@@ -226,17 +273,15 @@ def _extract(run: int, wanted: Callable[[], np.ndarray] | None) -> Callable:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_boilerplate", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = wanted() if wanted else None
-        for batch in batches:
-            for at in range(0, len(batch), 100):
-                part, out = batch.slice(at, 100).to_pylist(), []
-                for r in part:
-                    found, words, keys = _parsed(r["host"], r["html"], run)
-                    own = every if wanted else np.sort(np.array(r["_runs"] or [], np.int64))
-                    covered = _covered(_among(keys, own), len(words), run)
-                    text = main_text(found, covered)
-                    out.append((r["page_id"], r["url"], text, len(text), int(covered.sum())))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], schema.field(k).type) for k in range(5)], schema=schema)
+        every, parse = wanted() if wanted else None, _Parser(run)
+        for part in _groups(batches):
+            out = []
+            for r, (found, _, n, keys) in zip(part, parse(part), strict=True):
+                own = every if wanted else np.sort(np.array(r["_runs"] or [], np.int64))
+                covered = _covered(_among(keys, own), n, run)
+                text = main_text(found, covered)
+                out.append((r["page_id"], r["url"], text, len(text), int(covered.sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], schema.field(k).type) for k in range(5)], schema=schema)
 
     return work
 
@@ -253,19 +298,6 @@ def _sent(runs: DataFrame) -> Callable[[], np.ndarray]:
     return lambda: sent.value
 
 
-def recurring(rows: DataFrame, run: int, min_pages: int) -> DataFrame:
-    """key: the runs (see run_keys) that at least `min_pages` distinct texts of a host's pages hold. rows: page, host, html."""
-    schema = "page binary, text long, keys array<long>"
-    every = rows.mapInArrow(_runs(run), schema).select("page", "text", F.explode("keys").alias("key"))
-    # Copies of a text count here, but not below: the runs that could recur are few, and only their occurrences are told apart.
-    often = cut(every.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key"))
-    if is_small(often, BROADCAST_RUNS):
-        held = rows.mapInArrow(_runs(run, _sent(often)), schema).select("text", F.explode("keys").alias("key"))
-    else:
-        held = _meeting(every, often)
-    return cut(held.select("key", "text").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key"))
-
-
 def extract(pages: DataFrame, run: int = RUN, min_pages: int = PAGES) -> DataFrame:
     """Per row of `pages` (page_id, url, html): page_id, url, text, n_chars and n_boilerplate, the tokens in recurring runs.
 
@@ -274,15 +306,21 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = PAGES) -> DataFra
     elements end with what holds them. Repeated rows each get a row. An empty table gives none. Runs and texts are compared
     by 64-bit hashes.
     """
+    slim_batches(pages.sparkSession)
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     # What a page's runs depend on: its host and its HTML.
     page = F.unhex(F.md5(F.concat_ws("\x00", F.md5(F.coalesce("host", F.lit("")).cast("binary")), F.md5(F.coalesce("html", F.lit("")).cast("binary"))).cast("binary")))
     rows = rows.withColumn("page", page)
     seen = rows.select("page", "host", "html")
-    common = recurring(seen, run, min_pages)
+    chars = seen.agg(F.coalesce(F.sum(F.length("html")), F.lit(0))).first()[0]
+    bits = bits_for(chars // 2, LEAST_BITS, MOST_BITS)
+    # Copies of a text count here, but not below: here, runs may only be counted too often.
+    often = seen.sparkSession.sparkContext.broadcast(bitmaps(parts_of(seen, _slots_of(run, bits), min_pages), bits, (min_pages - 1,))[0])
+    held = seen.mapInArrow(_runs(run, lambda: often.value, bits), "page binary, text long, keys array<long>")
+    told = held.select("text", F.explode("keys").alias("key")).distinct()
+    common = cut(told.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key"))
     schema = "page_id long, url string, text string, n_chars long, n_boilerplate long"
     if is_small(common, BROADCAST_RUNS):
         return rows.select("page_id", "url", "html", "host").mapInArrow(_extract(run, _sent(common)), schema)
-    held = seen.mapInArrow(_runs(run), "page binary, text long, keys array<long>").select("page", "text", F.explode("keys").alias("key"))
-    own = _meeting(held, common).groupBy(F.col("page").alias("_page")).agg(F.collect_set("key").alias("_runs"))
+    own = _meeting(held.select("page", "text", F.explode("keys").alias("key")), common).groupBy(F.col("page").alias("_page")).agg(F.collect_set("key").alias("_runs"))
     return rows.join(own, F.col("page") == F.col("_page"), "left").select("page_id", "url", "html", "host", "_runs").mapInArrow(_extract(run, None), schema)
