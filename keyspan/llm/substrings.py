@@ -20,15 +20,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, slim_batches
 from .hashing import BASES, Rolling, mix, sliding_least, word_codes
+from .sketch import bitmaps, bits_for, has, parts_of
 
 WINDOW = 50
 GRAM = 24
 #: Rows of the sketch; a count is the least of its counters.
 DEPTH = 2
-#: Counters in a row of the sketch: a power of two, about one to 8 characters of text (ten to an anchor), within these bounds. The bits "two or more" are broadcast: at most 2**30 of each row, 256 MB in all.
+#: Bits of a counter's number in a row of the sketch: about a counter for each four to eight characters of text (ten or more to an anchor), within these bounds. The bits "two or more" are broadcast: at most 2**30 of each row, 256 MB in all.
 LEAST_BITS, MOST_BITS = 16, 30
+#: Windows in more than this share of all occurrences of repeated windows, and more than LEAST_HOT, are told by broadcast: at most as many as the inverse of the share.
+HOT_SHARE, LEAST_HOT = 1e-5, 1_000
 #: Texts that a task handles at a time.
 ROWS = 256
 
@@ -46,32 +49,19 @@ def _whole(joined: bytes) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(joined, 1)], np.uint64)
 
 
-def _sketch(window: int, gram: int, bits: int) -> Callable:
-    """A task's sketch: rows (slot, n), slots of all rows of the sketch numbered through."""
+def _slots_of(window: int, gram: int, bits: int) -> Callable:
+    """The slots of all rows of the sketch, numbered through, for a task's texts."""
 
-    def told(anchors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        every = np.concatenate(anchors)
-        for row in range(DEPTH):
-            slot, n = np.unique(_slots(every, row, bits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot + (row << bits)), pa.array(n)], names=["slot", "n"])
+    def slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        roll = Rolling(BASES[0])
+        for at in range(0, len(batch), ROWS):
+            for text in batch.column(0).slice(at, ROWS).to_pylist():
+                words = _words(text)
+                if len(words) >= window:
+                    anchors = np.append(np.unique(sliding_least(roll(word_codes(words), gram), window - gram + 1)), _whole(b" ".join(words)))
+                    yield np.concatenate([_slots(anchors, row, bits) + (row << bits) for row in range(DEPTH)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, kept, held = Rolling(BASES[0]), [], 0
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                for text in batch.column(0).slice(at, ROWS).to_pylist():
-                    words = _words(text)
-                    if len(words) >= window:
-                        anchors = np.unique(sliding_least(roll(word_codes(words), gram), window - gram + 1))
-                        kept.append(np.append(anchors, _whole(b" ".join(words))))
-                        held += len(kept[-1])
-                if held > 500_000:
-                    yield from told(kept)
-                    kept, held = [], 0
-        if kept:
-            yield from told(kept)
-
-    return run
+    return slots
 
 
 _SEEN = "doc_id long, hash long, n_words long, kept_sha256 string, packed binary, copy boolean, runs array<struct<start: int, n: int>>, h1 array<long>, h2 array<long>"
@@ -90,8 +80,7 @@ class _Windows:
     def repeated(self, numbers: np.ndarray) -> np.ndarray:
         hit = np.ones(len(numbers), bool)
         for row, bit in enumerate(self._flags):
-            slot = _slots(numbers, row, self._bits)
-            hit &= (bit[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            hit &= has(bit, _slots(numbers, row, self._bits)) == 1
         return hit
 
     def __call__(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
@@ -180,14 +169,19 @@ def _cleared(window: int) -> Callable:
 
 def repeated_bits(docs: DataFrame, window: int, gram: int, bits: int) -> list[bytes]:
     """For each row of the merged sketch the bits "counted twice or more"."""
-    counters = docs.select("text").mapInArrow(_sketch(window, gram, bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    # Bitmaps of 32,768 slots each; slots count from 1 in these functions.
-    maps = counters.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("map"))
-    out = np.zeros((DEPTH << bits) // 8, np.uint8)
-    for r in maps.toLocalIterator():
-        at = (r["at"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
-    return [x.tobytes() for x in out.reshape(DEPTH, -1)]
+    every = bitmaps(parts_of(docs.select("text"), _slots_of(window, gram, bits), 2), bits + DEPTH.bit_length() - 1, (1,))[0]
+    width = (1 << bits) // 8
+    return [every[row * width : (row + 1) * width] for row in range(DEPTH)]
+
+
+def _meeting(windows: DataFrame, first: DataFrame) -> DataFrame:
+    """doc_id, hash, start and first, the least document of the window (null where only one has it). Occurrences of the commonest windows are spread over all tasks."""
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = first.where(F.col("n") > max(LEAST_HOT, int(total * HOT_SHARE))).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("first").alias("_first"))
+    known = windows.join(F.broadcast(hot), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    spread = F.when(F.col("_first").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "start"))
+    known = known.select("doc_id", "hash", "start", spread.alias("h1"), "h2", "_first")
+    return known.join(first.select("h1", "h2", "first"), ["h1", "h2"], "left").select("doc_id", "hash", "start", F.coalesce("_first", "first").alias("first"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sketch_bits: int | None = None) -> DataFrame:
@@ -199,10 +193,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sketch
     Null and empty texts have no words. Rows with one doc_id never remove from each other; a null doc_id neither removes
     nor loses anything. Repeated rows each get a row. An empty table gives none.
     """
+    slim_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     if sketch_bits is None:
         chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        sketch_bits = min(MOST_BITS, max(LEAST_BITS, (chars // 8).bit_length()))
+        sketch_bits = bits_for(chars // 8, LEAST_BITS, MOST_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs.where("doc_id is not null"), window, gram, sketch_bits))
     seen = cut(docs.select("doc_id", "hash", "text").mapInArrow(_candidates(window, gram, sketch_bits, shared), _SEEN))
 
@@ -213,8 +208,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sketch
     shown = cut(leading.select("doc_id", "hash", "packed").mapInArrow(_shown(window, gram, sketch_bits, shared), "doc_id long, hash long, runs array<struct<start: int, n: int>>, h1 array<long>, h2 array<long>"))
     starts = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1)))
     windows = seen.where("packed is not null and not copy").select("doc_id", "hash", "runs", "h1", "h2").unionByName(shown).select("doc_id", "hash", F.inline(F.arrays_zip(starts.alias("start"), "h1", "h2")))
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("h1", "h2", "first")
-    gone = windows.join(first, ["h1", "h2"]).where(F.col("first") < F.col("doc_id")).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.collect_set("start").alias("gone"))
+    first = cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where(F.col("first") < F.col("last")).select("h1", "h2", "first", "n"))
+    gone = _meeting(windows, first).where(F.col("first") < F.col("doc_id")).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.collect_set("start").alias("gone"))
     # The verdicts meet the packed texts in one join.
     following = copies.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "kept_sha256").join(lead, "kept_sha256").where("lead < _id").select("_id", "_h", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("whole")).distinct()
     marks = gone.withColumn("whole", F.lit(False)).unionByName(following)
