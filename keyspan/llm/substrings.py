@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, slim_batches
+from .common import cut, pick, slim_batches, written
 from .hashing import BASES, Rolling, mix, sliding_least, word_codes
 from .sketch import bitmaps, bits_for, has, parts_of
 
@@ -208,7 +208,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sketch
     shown = cut(leading.select("doc_id", "hash", "packed").mapInArrow(_shown(window, gram, sketch_bits, shared), "doc_id long, hash long, runs array<struct<start: int, n: int>>, h1 array<long>, h2 array<long>"))
     starts = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1)))
     windows = seen.where("packed is not null and not copy").select("doc_id", "hash", "runs", "h1", "h2").unionByName(shown).select("doc_id", "hash", F.inline(F.arrays_zip(starts.alias("start"), "h1", "h2")))
-    first = cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where(F.col("first") < F.col("last")).select("h1", "h2", "first", "n"))
+    repeated = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where(F.col("first") < F.col("last"))
+    first = written(repeated.select("h1", "h2", "first", "n"), "windows")
     gone = _meeting(windows, first).where(F.col("first") < F.col("doc_id")).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.collect_set("start").alias("gone"))
     # The verdicts meet the packed texts in one join.
     following = copies.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "kept_sha256").join(lead, "kept_sha256").where("lead < _id").select("_id", "_h", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("whole")).distinct()
