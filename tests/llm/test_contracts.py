@@ -62,6 +62,12 @@ def test_urls(spark):
         same(taken(urls.filter_urls(df, many), "page_id", "host", "path", "rule", "verdict"), brute.urls(pages, URL_RULES))
     finally:
         urls.BROADCAST_RULES = most
+    crowd = [(i, "http://shop.com/de/x" if i % 3 else None) for i in range(90)] + [(100, "http://a.org/")]
+    least, urls.LEAST_HOT = urls.LEAST_HOT, 5
+    try:  # rows of common URLs are judged where they are
+        same(taken(urls.filter_urls(spark.createDataFrame(crowd, "page_id long, url string"), rules), "page_id", "host", "path", "rule", "verdict"), brute.urls(crowd, URL_RULES))
+    finally:
+        urls.LEAST_HOT = least
     none = rules.limit(0)
     assert {r[0] for r in urls.filter_urls(df, none).select("verdict").collect()} == {"allow"}
     assert urls.filter_urls(df.limit(0), rules).count() == 0
