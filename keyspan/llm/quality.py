@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, is_small, pick
+from .common import cut, is_small, pick, slim_batches
 
 #: A line is boilerplate if more than this many distinct texts of its host hold it, however many the host has ...
 MAX_DOCS = 20
@@ -139,8 +139,10 @@ def _digest() -> Column:
 def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """source and line (its hash): the lines of `docs` (doc_id, text, source) that are above both limits."""
     hosts = _rows(docs).mapInArrow(_lines, _SCHEMA).groupBy("source", "digest").agg(F.first("lines").alias("lines"))
-    n_texts = hosts.groupBy(F.col("source").alias("_host")).agg(F.count("*").alias("n_texts"))
     lines = hosts.select("source", F.explode("lines").alias("line")).groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    if max_share <= 0:
+        return lines.select("source", "line")
+    n_texts = hosts.groupBy(F.col("source").alias("_host")).agg(F.count("*").alias("n_texts"))
     # As many rows as sources: small beside the lines, and joined by shuffle unless their size is known to be small.
     return lines.join(n_texts, F.col("source").eqNullSafe(F.col("_host"))).where(F.col("n") > max_share * F.col("n_texts")).select("source", "line")
 
@@ -160,6 +162,7 @@ def _gone(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 def _ruled(docs: DataFrame, columns: tuple[str, ...], max_docs: int, max_share: float, min_words_left: int, min_share_left: float) -> DataFrame:
     """The named columns of `docs`, text without boilerplate lines, and the counts, words_left, base_failed and kept."""
+    slim_batches(docs.sparkSession)
     common = cut(boilerplate(docs, max_docs, max_share))
     rows = pick(docs, *columns, *(c for c in ("text", "source", "doc_id") if c not in columns)).withColumn("_own", F.col("doc_id").cast("long")).withColumn("digest", _digest())
     if is_small(common, BROADCAST_LINES):
@@ -181,8 +184,9 @@ def _ruled(docs: DataFrame, columns: tuple[str, ...], max_docs: int, max_share:
 def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words_left: int = MIN_WORDS_LEFT, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
     """Per row of `docs` (doc_id, text, source): doc_id, digest, the five counts, words_left, base_failed, kept and text.
 
-    Lines are compared without case and outer or repeated white space, by a 64-bit hash. Per source, distinct texts that
-    hold a line are counted: copies of one text count once, so that copying alone condemns no line. Lines above both
+    Lines are compared without case and outer or repeated white space, by a 64-bit hash. Per source, distinct documents that
+    hold a line are counted. Documents are told apart by their text: copies count once, for otherwise any text with more
+    copies than the limit would lose all its lines, and no copy would reach a stage that keeps one of them. Lines above both
     limits are boilerplate: text is what remains without them, and words_left its words; digest and the counts are of the
     whole text. kept: not base_failed and not depleted.
 
@@ -199,6 +203,10 @@ def base_failed() -> Column:
 
 
 def accept(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The rows of `docs` that line_rules() keeps, with the named columns; text is without boilerplate lines, and n_chars counts it."""
+    """The rows of `docs` that line_rules() keeps, with the named columns; text is without boilerplate lines, and n_chars counts it.
+
+    Null and empty texts have no words and go. A null doc_id or source is a value like others. Texts of any length are read
+    whole. Repeated rows are kept or go alike. An empty table gives none. Columns beside those named are left out.
+    """
     good = _ruled(docs, columns, MAX_DOCS, MAX_SHARE, MIN_WORDS_LEFT, MIN_SHARE_LEFT).where("kept")
     return good.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
