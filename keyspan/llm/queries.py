@@ -16,6 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+#: <|endoftext|> of that tokenizer, and a number beyond its vocabulary of 49,408.
+TOKEN_END, TOKEN_PAD = 49_407, 0xFFFF
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -74,9 +78,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all documents as shards of byte ids, and reads them back: one row for each sequence."""
-    tokens = shards.byte_ids(table(spark, sf_dir, "documents"))
-    layout = shards.Layout(tokens, "training order", 1, shards.BYTE_END, shards.BYTE_PAD)
+    """Encodes all documents, writes their token ids as shards, and reads them back: one row for each sequence."""
+    tokens = shared_path(spark, "tokens")
+    bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), width=2).write.option("compression", "zstd").parquet(tokens)
+    layout = shards.Layout(spark.read.parquet(tokens), "training order", 2, TOKEN_END, TOKEN_PAD)
     path = shared_path(spark, "shards")
     layout.write(path)
     if not layout.n:

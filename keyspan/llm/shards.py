@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import let, pick, slim_batches
 
 #: Tokens in a sequence, and sequences in a shard.
 LENGTH, PER_SHARD = 2_048, 8_192
@@ -66,14 +67,17 @@ def byte_ids(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("ids"))
 
 
-def _packed(first: dict[int, int], n: int, length: int, width: int, end: bytes, pad: bytes, key: str, with_tokens: bool) -> Callable:
-    """The sequences of a task's rows. first: by partition its first sequence and how many it has."""
+def _packed(plan: Callable[[], dict[str, np.ndarray]], n: int, length: int, width: int, end: bytes, pad: bytes, key: str, with_tokens: bool) -> Callable:
+    """The sequences of a task's rows; records are compressed. plan: by partition its first sequence, how many it has and a check of its rows."""
     schema = pa.schema([("slot", pa.int64()), ("sequence", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *([("record", pa.binary())] if with_tokens else [])])
     stride = length * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, promised = first.get(TaskContext.get().partitionId(), (0, 0))
-        order, made = Permutation(n, key), 0
+        known, own = plan(), TaskContext.get().partitionId()
+        k = int(np.searchsorted(known["partition"], own))
+        here = k < len(known["partition"]) and known["partition"][k] == own
+        at, promised, check = (int(known[c][k]) if here else 0 for c in ("first", "n", "check"))
+        order, made, pack = Permutation(n, key), 0, zstandard.ZstdCompressor(3)
         held, held_ids = bytearray(), []
 
         def told(records: list[bytes], ids: list[list]) -> pa.RecordBatch:
@@ -81,30 +85,33 @@ def _packed(first: dict[int, int], n: int, length: int, width: int, end: bytes,
             numbers = np.arange(at + made, at + made + len(records))
             made += len(records)
             counts = [len(r) // width for r in records]
-            full = [r + pad * (length - c) for r, c in zip(records, counts, strict=True)]
+            full = [pack.compress(r + pad * (length - c)) for r, c in zip(records, counts, strict=True)] if with_tokens else []
             return pa.RecordBatch.from_arrays([pa.array(order.slot(numbers)), pa.array(numbers), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int64())), *([pa.array(full, pa.binary())] if with_tokens else [])], schema=schema)
 
-        records, ids = [], []
+        records, ids, seen = [], [], 0
         for batch in batches:
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                held += own.as_buffer() if own.is_valid else b""
+            seen += sum(batch.column("check").to_pylist())
+            for doc_id, own_ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                held += own_ids.as_buffer() if own_ids.is_valid else b""
                 held += end
                 held_ids.append(doc_id)
-                while len(held) >= stride:
-                    records.append(bytes(held[:stride]))
+                start = 0
+                while len(held) - start >= stride:
+                    records.append(bytes(held[start : start + stride]))
+                    start += stride
                     ids.append(held_ids)
-                    del held[:stride]
-                    held_ids = [doc_id] if held else []
+                    held_ids = [doc_id] if len(held) > start else []
                     if len(records) == 256:
                         yield told(records, ids)
                         records, ids = [], []
+                del held[:start]
         if held:
             records.append(bytes(held))
             ids.append(held_ids)
         if records:
             yield told(records, ids)
-        if made != promised:
-            raise ValueError(f"a partition made {made} sequences and was counted as {promised}: its rows change from run to run, so write them first")
+        if (made, seen) != (promised, check):
+            raise ValueError("a partition's rows or their order changed since they were counted: write or checkpoint the tokens first")
 
     return run
 
@@ -113,19 +120,25 @@ class Layout:
     """Where each sequence of `tokens` (doc_id, ids as fixed-width little-endian binary) goes.
 
     Each document ends with `end`. The rows of a partition follow one another without gaps; the last sequence of a partition
-    is filled up with `pad`. Null ids count as empty and leave just their end. Repeated rows are repeated. An empty table has
-    no sequences and no shards. Rows have to come alike in each run, as from files or a checkpoint; this is verified.
+    is filled up with `pad`. Null ids count as empty and leave just their end. Repeated rows are repeated, and very long ones
+    go over as many sequences as they need. An empty table has no sequences and no shards. Columns beside doc_id and ids are
+    left out. Rows have to come alike, in number and order, in each run, as from files or a checkpoint; this is verified.
     """
 
     def __init__(self, tokens: DataFrame, key: str, width: int, end: int, pad: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> None:
-        self.tokens, self.key, self.width, self.length, self.per_shard = pick(tokens, "doc_id", "ids"), key, width, length, per_shard
+        slim_batches(tokens.sparkSession)
+        self.key, self.width, self.length, self.per_shard = key, width, length, per_shard
+        # Hashes of half the bits, so that sums over a partition stay within a long.
+        check = F.shiftrightunsigned(F.xxhash64("doc_id", F.octet_length("ids"), F.monotonically_increasing_id()), 32)
+        self.tokens = pick(tokens, "doc_id", "ids").withColumn("check", check)
         self.end, self.pad = (x.to_bytes(width, "little") for x in (end, pad))
         size = F.sum(F.coalesce(F.octet_length("ids"), F.lit(0)) + width)
-        counts = self.tokens.groupBy(F.spark_partition_id().alias("p")).agg(F.ceil(size / (length * width)).cast("long").alias("n")).collect()  # a row for each input split
-        self.first, self.n = {}, 0
-        for r in sorted(counts):
-            self.first[r["p"]] = (self.n, r["n"])
-            self.n += r["n"]
+        # A row of four numbers for each input split: as many as the driver has tasks.
+        splits = self.tokens.groupBy(F.spark_partition_id().alias("partition")).agg(F.ceil(size / (length * width)).cast("long").alias("n"), F.sum("check").alias("check")).orderBy("partition").collect()
+        counts = np.array([tuple(r) for r in splits], np.int64).reshape(-1, 3)
+        self.n = int(counts[:, 1].sum())
+        plan = {"partition": counts[:, 0], "n": counts[:, 1], "check": counts[:, 2], "first": np.cumsum(counts[:, 1]) - counts[:, 1]}
+        self._plan = tokens.sparkSession.sparkContext.broadcast(plan)
 
     @property
     def n_shards(self) -> int:
@@ -133,7 +146,8 @@ class Layout:
 
     def _sequences(self, with_tokens: bool) -> DataFrame:
         schema = "slot long, sequence long, n_tokens long, doc_ids array<long>" + ", record binary" * with_tokens
-        return self.tokens.mapInArrow(_packed(self.first, max(1, self.n), self.length, self.width, self.end, self.pad, self.key, with_tokens), schema)
+        plan = self._plan
+        return self.tokens.mapInArrow(_packed(lambda: plan.value, max(1, self.n), self.length, self.width, self.end, self.pad, self.key, with_tokens), schema)
 
     def index(self) -> DataFrame:
         """slot, sequence, n_tokens, doc_ids, shard and offset (in bytes) of every sequence."""
@@ -145,23 +159,26 @@ class Layout:
         puts bytes out as they are, to any file system, and a lost task writes its shard again)."""
         if self.n:
             rows = self._sequences(True).repartitionById(self.n_shards, F.floor(F.col("slot") / self.per_shard).cast("int"))
-            rows.sortWithinPartitions("slot").select(F.col("record").cast("string").alias("value")).write.text(path)
+            plain = rows.sortWithinPartitions("slot").select("record").mapInArrow(_unpacked, "record binary")
+            plain.select(F.col("record").cast("string").alias("value")).write.text(path)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            records = [unpack.decompress(r.as_buffer()) for r in batch.column(0).slice(at, 256)]
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
 
 def read(spark: SparkSession, path: str, length: int, width: int, per_shard: int = PER_SHARD, start: int = 0) -> DataFrame:
     """slot and record of the sequences from slot `start` on; earlier shards are not opened."""
     stride = length * width + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
-                raw = memoryview(content.as_buffer())
-                slots = range(max(shard * per_shard, start), shard * per_shard + len(raw) // stride)
-                for lo in range(0, len(slots), 1024):
-                    some = slots[lo : lo + 1024]
-                    records = [bytes(raw[(s % per_shard) * stride : (s % per_shard) * stride + stride - 1]) for s in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(records, pa.binary())], names=["slot", "record"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    shard = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
-    return files.select(shard.alias("shard"), "content").where(F.col("shard") >= start // per_shard).mapInArrow(run, "slot long, record binary")
+    shard = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where(shard >= start // per_shard)  # told by names alone
+    own = shard * per_shard
+    held = files.select(F.greatest(own, F.lit(start)).alias("first"), (own + F.floor(F.octet_length("content") / stride)).alias("end"), "content").where("first < end")
+    at = lambda s: (F.pmod(s, F.lit(per_shard)) * stride + 1).cast("int")
+    record = lambda c: lambda s: F.struct(s.alias("slot"), F.substr(c, at(s), F.lit(stride - 1)).alias("record"))
+    # Bound before it is cut: a shard's bytes would else be copied for each record.
+    return held.select(F.inline(let(F.col("content"), lambda c: F.transform(F.sequence("first", F.col("end") - 1), record(c)))))
